@@ -92,44 +92,26 @@ def _spanning(fp: np.ndarray, side: np.ndarray | None, radius: int) -> list[tupl
     n, unary = len(fp), embed(fp)
     if side is not None and not 0 < side.sum() < n:
         return []
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    links = []
+    label, links = np.arange(n), []
     rows = np.arange(n) if side is None else np.flatnonzero(~side)
     cols = np.arange(n) if side is None else np.flatnonzero(side)
-    step = max(1, (1 << 19) // max(1, len(cols)))
+    step = max(1, (1 << 18) // max(1, len(cols)))
     for at in range(0, len(rows), step):
         own = rows[at : at + step]
         near = np.bitwise_count(unary[own, None] ^ unary[cols]) <= radius
         if side is None:
             near &= own[:, None] < cols
-        i, j = np.nonzero(near)
-        i, j = own[i], cols[j]
-        good = np.bitwise_count(fp[i] ^ fp[j]) <= radius
-        i, j = i[good], j[good]
-        if len(i) > 4 * n:  # a dense cluster: most links join what is joined already
-            state = np.array([root(x) for x in range(n)])
-            while len(i):
-                a, b = int(i[0]), int(j[0])
-                ra, rb = root(a), root(b)
-                if ra != rb:
-                    parent[rb] = ra
-                    links.append((a, b))
-                    state[state == state[b]] = state[a]
-                left = state[i] != state[j]
-                i, j = i[left], j[left]
-            continue
-        for a, b in zip(i.tolist(), j.tolist(), strict=True):
-            ra, rb = root(a), root(b)
-            if ra != rb:
-                parent[rb] = ra
-                links.append((a, b))
+        for k in np.flatnonzero(near.any(axis=1)).tolist():
+            a = int(own[k])
+            found = cols[near[k]]
+            found = found[label[found] != label[a]]  # what is joined already needs no link
+            found = found[np.bitwise_count(fp[a] ^ fp[found]) <= radius]
+            if len(found):
+                groups, first = np.unique(label[found], return_index=True)
+                links += [(a, int(b)) for b in found[first]]
+                moved = np.arange(n)
+                moved[groups] = label[a]
+                label = moved[label]
     return links
 
 
