@@ -181,7 +181,7 @@ def links(classes: DataFrame, n: int, radius: int = RADIUS, cell_members: int =
 
 
 def fingerprint_classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, component_id): for each distinct fingerprint the smallest doc_id that links reach.
+    """(fp, root, component_id): for each distinct fingerprint its component and the smallest doc_id that links reach.
 
     prints: (doc_id, fp), kept in a checkpoint by the caller.
     """
@@ -190,7 +190,7 @@ def fingerprint_classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     roots = component_roots(links(classes, classes.count(), radius))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     linked = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(linked, "root").select("fp", "component_id")
+    return rooted.join(linked, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,8 +228,8 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text
     found = fingerprint_classes(prints, radius)
     best = prints.join(found, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # ids that repeat within a component: one text of them stays
-    best = best.groupBy("component_id", "fp", "doc_id").agg(F.min("th").alias("th"), F.count(F.lit(1)).alias("n"))
-    best = checkpointed(best.groupBy("component_id").agg(F.min(F.struct("doc_id", "fp", "th", "n")).alias("x")).select("x.*"))
+    best = best.groupBy("root", "doc_id", "fp", "th").agg(F.count(F.lit(1)).alias("n"))
+    best = checkpointed(best.groupBy("root").agg(F.min(F.struct("doc_id", "fp", "th", "n")).alias("x")).select("x.*"))
     keepers = best.select(F.col("doc_id").alias("__k_id"), F.col("th").alias("__k_th"), F.col("n").alias("__k_n"))
     kept = hashed.join(keepers.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__k_id")) & (F.col("__row_text") == F.col("__k_th")))
     if best.where("n > 1").isEmpty():
