@@ -69,7 +69,8 @@ def spread(records: DataFrame) -> DataFrame:
 def merge_list(records: DataFrame, family: str) -> DataFrame:
     """(entity_key, item_key, item, provenance): the distinct items of each entity. Blank keys are left out."""
     key, raw = FAMILIES[family]
-    items = records.select("entity_key", "src_ord", "source_type", "source_id", F.posexplode(family).alias("item_ord", "item"))
+    # outer, since for an inner one the planner adds a filter on the list below the exchange, where the list is made once more
+    items = records.select("entity_key", "src_ord", "source_type", "source_id", F.posexplode_outer(family).alias("item_ord", "item"))
     method = F.when(F.coalesce(F.col("item.is_inferred"), F.lit(False)), "inferred").otherwise(method_of(F.col("source_type"))) if family == "skills" else None
     rows = items.select("entity_key", key(F.col("item")).alias("item_key"), "item", F.struct("src_ord", "item_ord").alias("ord"), provenance(family, raw(F.col("item")), method).alias("p"))
     rows = rows.where(F.coalesce(F.col("item_key"), F.lit("")) != "")
@@ -91,8 +92,10 @@ def merge_scalars(records: DataFrame, fields: tuple[str, ...] = SCALARS) -> Data
 
 def merge_locations(records: DataFrame) -> DataFrame:
     """(entity_key, field, item_key, value, provenance) of places, by how they are displayed; empty ones are left out."""
-    rows = records.where("location IS NOT NULL").select("entity_key", "src_ord", F.lit(0).alias("item_ord"), "source_type", "source_id", "location").withColumn("shown", location_display(F.col("location")))
-    rows = rows.withColumn("item_key", key_of(F.col("shown"))).where("item_key <> ''")
+    named = F.transform(F.array("location"), lambda x: F.struct(x.alias("location"), location_display(x).alias("shown")))
+    keyed = F.transform(named, lambda x: F.struct(x["location"].alias("location"), x["shown"].alias("shown"), key_of(x["shown"]).alias("item_key")))
+    rows = records.select("entity_key", "src_ord", F.lit(0).alias("item_ord"), "source_type", "source_id", F.explode_outer(keyed).alias("x")).select("*", "x.*").drop("x")
+    rows = rows.where(F.coalesce(F.col("item_key"), F.lit("")) != "")
     p = provenance("location", F.col("shown"))
     return rows.groupBy("entity_key", F.lit("location").alias("field"), "item_key").agg(F.max_by("location", "src_ord").alias("value"), F.sort_array(F.collect_list(p)).alias("provenance"))
 
