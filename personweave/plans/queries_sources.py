@@ -106,7 +106,7 @@ def topk_repos_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @add("""
-SELECT entity_key, arg_min(name, ord) AS name, arg_min(context, ord) AS source_context, count(*)::BIGINT AS github_occurrence_count FROM v_api GROUP BY entity_key, lower(name)""")
+SELECT entity_key, arg_min(concat(upper(name[1]), name[2:]), ord) AS name, arg_min(context, ord) AS source_context, count(*)::BIGINT AS github_occurrence_count FROM v_api GROUP BY entity_key, lower(name)""")
 def infer_skills_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repo_api.infer_technologies(frame(spark, sf_dir, "v_api"), "entity_key").drop("ord")
 

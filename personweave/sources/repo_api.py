@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import contact
-from ..functions.text import blank_to_null
+from ..functions.text import blank_to_null, decode_base64, trim_ws
 from ..schemas import LOCATION, PROFILES, SKILLS, extracted, record
 
 PROFILE = "login string, name string, bio string, location string, html_url string, blog string, followers bigint, public_repos bigint"
 #: Technologies looked for in a readme, and those that a file's name implies.
 README_KNOWN = ("React", "TypeScript", "JavaScript", "Python", "Django", "FastAPI", "Flask", "Docker", "Kubernetes", "AWS", "PostgreSQL", "Redis", "Tailwind CSS", "Vite")
+SPELLINGS = {"reactjs": "React", "nodejs": "Node.js", "node": "Node.js", "tailwindcss": "Tailwind CSS"}
+#: Kinds of payload rows, in the order in which their names count.
+KINDS = ("languages", "topics", "workflows", "readme", "file")
 FILE_IMPLIES = {
     "package.json": ("Node.js",),
     "Dockerfile": ("Docker",),
@@ -70,9 +73,39 @@ def manifest_names(filename: Column, content: Column) -> Column:
     return F.concat(implied, F.coalesce(own, none))
 
 
+def technology_name(c: Column) -> Column:
+    """A technology as it is shown: without @ at either end, _ and - as spaces, a known spelling or a capital first."""
+    clean = F.regexp_replace(F.btrim(trim_ws(c), F.lit("@")), "[_-]", " ")
+    known = F.try_element_at(F.create_map(*[F.lit(x) for pair in SPELLINGS.items() for x in pair]), F.lower(clean))
+    return F.coalesce(known, F.concat(F.upper(F.left(clean, F.lit(1))), F.substr(clean, F.lit(2))))
+
+
+def evidence(payloads: DataFrame, user: str = "username") -> DataFrame:
+    """Rows (user, ord, name, context) from payload rows (user, rank, full_name, kind, path, payload).
+
+    Kinds: languages, topics, workflows, readme, file. The order is that of the repositories, then of the
+    kinds, then of the names. Payloads that cannot be read give no names.
+    """
+    p, kind = F.col("payload"), F.col("kind")
+    content = F.from_json(p, "encoding string, content string")
+    text = F.when(content["encoding"] == "base64", decode_base64(content["content"]))
+    filename = F.element_at(F.split("path", "/"), -1)
+    names = (
+        F.when(kind == "languages", F.map_keys(F.from_json(p, "map<string,bigint>")))
+        .when(kind == "topics", F.from_json(p, "names array<string>")["names"])
+        .when(kind == "workflows", F.transform(F.from_json(p, "workflows array<struct<name:string>>")["workflows"], lambda w: w["name"]))
+        .when(kind == "readme", readme_names(text))
+        .when(kind == "file", manifest_names(filename, text))
+    )
+    context = F.when(kind == "languages", "github languages").otherwise(F.concat("full_name", F.when(kind == "file", F.concat(F.lit(":"), filename)).when(kind == "readme", F.lit(" README")).otherwise(F.concat(F.lit(" "), kind))))
+    order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), kind)
+    rows = payloads.select(user, "rank", order.alias("k"), F.coalesce("path", F.lit("")).alias("path"), context.alias("context"), F.posexplode_outer(names).alias("pos", "name"))
+    return rows.where("name IS NOT NULL").select(user, F.struct("rank", "k", "path", "pos").alias("ord"), "name", "context")
+
+
 def infer_technologies(evidence: DataFrame, user: str = "username") -> DataFrame:
     """(user, name, source_context, github_occurrence_count) from rows (user, ord, name, context): the first spelling and context of each name, and how often it occurs."""
-    rows = evidence.withColumn("name", F.trim("name")).where("name <> ''")
+    rows = evidence.withColumn("name", technology_name(F.col("name"))).where("name <> ''")
     out = rows.groupBy(user, F.lower("name").alias("k")).agg(F.min_by("name", "ord").alias("name"), F.min_by("context", "ord").alias("source_context"), F.count(F.lit(1)).alias("github_occurrence_count"), F.min("ord").alias("ord"))
     return out.drop("k")
 
@@ -83,4 +116,4 @@ def read(profiles: DataFrame, evidence: DataFrame, payload: str = "payload", use
     skills = infer_technologies(evidence, user).groupBy(user).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", skill.alias("s")))), lambda x: x["s"]).alias("__skills"))
     df = profiles.join(skills, user, "left")
     key = F.col(user) if entity_key is None else entity_key
-    return extracted(df, entity_key=key, src_ord=F.lit(0) if src_ord is None else src_ord, source_type=F.lit("github"), source_id=F.concat(F.lit("github:"), F.col(user)), skills=F.coalesce("__skills", F.array().cast(SKILLS)), **profile_fields(F.col(payload)))
+    return extracted(df, entity_key=key, src_ord=F.lit(0) if src_ord is None else src_ord, source_type=F.lit("github"), source_id=F.concat(F.lit("https://github.com/"), F.col(user)), skills=F.coalesce("__skills", F.array().cast(SKILLS)), **profile_fields(F.col(payload)))

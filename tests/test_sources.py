@@ -65,6 +65,8 @@ def test_repositories(spark):
     row = repo_api.read(profiles, evidence).first()
     assert row["full_name"] == "Ann" and row["profiles"][0]["url"] == "https://github.com/ann"
     assert [(s["name"], s["source_context"], s["is_inferred"], s["github_occurrence_count"]) for s in row["skills"]] == [("Go", "languages", True, 2)]
+    assert row["source_id"] == "https://github.com/ann"
+    assert spark.range(1).select(F.array(*[repo_api.technology_name(F.lit(n)) for n in ("@angular", "my_lib", "NODE", " ")])).first()[0] == ["Angular", "My lib", "Node.js", ""]
     assert spark.range(1).select(repo_api.readme_names(F.lit("uses REACT and redis"))).first()[0] == ["React", "Redis"]
     assert spark.range(1).select(repo_api.manifest_names(F.lit("package.json"), F.lit("broken"))).first()[0] == ["Node.js"]
 
