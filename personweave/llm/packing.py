@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -23,8 +24,8 @@ from .batches import checkpointed, map_texts
 
 CAPACITY = 2048
 SHARD_PIECES = 10_000
-#: Words a worker remembers; then it starts anew.
-CACHE_WORDS = 400_000
+#: Words a worker remembers at most twice: what was not met among the last so many is forgotten.
+CACHE_WORDS = 600_000
 
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Below U+0250 every character is stable under NFC and lower-cases alone, so words can be split here.
@@ -56,22 +57,29 @@ class WordTokenizer:
         self.model, self.letters = self.whole.model, _byte_letters()
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def _part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
-            shown = part.encode().decode("latin-1").translate(self.letters)
-            found = self.parts[part] = self._pack([t.id for t in self.model.tokenize(shown)])
+            found = self.old_parts.get(part)
+            if found is None:
+                shown = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
+                found = self._pack([t.id for t in self.model.tokenize(shown)])
+            self.parts[part] = found
         return found
 
     def _word(self, word: str) -> bytes:
-        if _PLAIN.match(word):
-            found = b"".join(map(self._part, _SPLIT.findall(word.lower())))
-        else:
-            found = self._pack(self.whole.encode(word, add_special_tokens=False).ids)
+        found = self.old_words.get(word)
+        if found is None:
+            if _PLAIN.match(word):
+                found = b"".join(map(self._part, _SPLIT.findall(word.lower())))
+            else:
+                found = self._pack(self.whole.encode(word, add_special_tokens=False).ids)
         self.words[word] = found
         return found
 
@@ -80,8 +88,9 @@ class WordTokenizer:
         if _SEPARATORS.search(text):
             return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
         if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-            self.parts.clear()
+            self.old_words, self.words = self.words, {}
+        if len(self.parts) > CACHE_WORDS:
+            self.old_parts, self.parts = self.parts, {}
         get, word = self.words.get, self._word
         return b"".join([get(w) or word(w) for w in text.split()])
 
