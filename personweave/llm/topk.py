@@ -57,16 +57,26 @@ def _blocks(size: int) -> Callable:
 
 
 def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Scores (query, candidate): for each term, its postings weighted by the queries that have it."""
-    scores = np.zeros((len(queries), len(candidates)), np.int64)
-    for term in range(min(queries.shape[1], candidates.shape[1])):
-        weights = queries[:, term]
-        having = np.flatnonzero(weights)
-        postings = np.flatnonzero(candidates[:, term])
-        if len(having) == len(queries) and len(postings) == len(candidates):
-            scores += weights[:, None] * candidates[:, term]
-        elif len(having) and len(postings):
-            scores[np.ix_(having, postings)] += weights[having, None] * candidates[postings, term]
+    """Scores (query, candidate): for each term, its postings weighted by the queries that have it.
+
+    Postings lie term by term; queries go in groups whose scores stay in a processor's cache, and in
+    32 bits where no sum can exceed them.
+    """
+    terms = min(queries.shape[1], candidates.shape[1])
+    most = [int(np.abs(m).max(initial=0)) for m in (queries, candidates)]
+    kind = np.int32 if most[0] * most[1] * max(1, terms) < 1 << 31 else np.int64
+    values = np.ascontiguousarray(candidates.T, kind)
+    postings = [np.flatnonzero(v) for v in values[:terms]]
+    scores = np.zeros((len(queries), len(candidates)), kind)
+    for at in range(0, len(queries), 64):
+        own, out = queries[at : at + 64].astype(kind), scores[at : at + 64]
+        for term in range(terms):
+            weights, where = own[:, term], postings[term]
+            having = np.flatnonzero(weights)
+            if len(having) == len(own) and len(where) == len(candidates):
+                out += weights[:, None] * values[term]
+            elif len(having) and len(where):
+                out[np.ix_(having, where)] += weights[having, None] * values[term, where]
     return scores
 
 
@@ -76,7 +86,7 @@ def select(query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -
     for q, row in zip(query_ids, scores, strict=True):
         others = np.flatnonzero(ids != q)
         if len(others) > k:
-            least = -np.partition(-row[others], k - 1)[k - 1]
+            least = np.partition(row[others], len(others) - k)[len(others) - k]
             others = others[row[others] >= least]
         best = others[np.lexsort((ids[others], -row[others]))[:k]]
         out.append((np.full(len(best), q), ids[best], row[best]))
