@@ -114,6 +114,20 @@ def parse_location(raw: Column) -> Column:
     )
 
 
+#: Weights of levels of skill.
+PROFICIENCY = {"beginner": 0.25, "intermediate": 0.5, "advanced": 0.75, "expert": 1.0, "unknown": 0.0}
+
+
+def proficiency_weight(c: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in PROFICIENCY.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, F.lower(c)), F.lit(0.0))
+
+
+def location_is_empty(loc: Column) -> Column:
+    """Whether a place says nothing at all."""
+    return F.coalesce(*[loc[n] for n in ("raw", "city", "state", "state_code", "country", "country_code", "postal_code")]).isNull()
+
+
 def location_display(loc: Column) -> Column:
     """city, state code or state, country code or country; else the raw text. Empty parts are left out."""
     part = lambda c: F.nullif(c, F.lit(""))

@@ -70,7 +70,7 @@ def merge_list(records: DataFrame, family: str) -> DataFrame:
     """(entity_key, item_key, item, provenance): the distinct items of each entity. Blank keys are left out."""
     key, raw = FAMILIES[family]
     # outer, since for an inner one the planner adds a filter on the list below the exchange, where the list is made once more
-    items = records.select("entity_key", "src_ord", "source_type", "source_id", F.posexplode_outer(family).alias("item_ord", "item"))
+    items = records.select("entity_key", "src_ord", "source_type", "source_id", F.posexplode_outer(family).alias("item_ord", "item")).where("item IS NOT NULL")
     method = F.when(F.coalesce(F.col("item.is_inferred"), F.lit(False)), "inferred").otherwise(method_of(F.col("source_type"))) if family == "skills" else None
     rows = items.select("entity_key", key(F.col("item")).alias("item_key"), "item", F.struct("src_ord", "item_ord").alias("ord"), provenance(family, raw(F.col("item")), method).alias("p"))
     rows = rows.where(F.coalesce(F.col("item_key"), F.lit("")) != "")
@@ -120,13 +120,17 @@ def _options(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return rows.groupBy("entity_key").agg(*options)
 
 
-def merge(records: DataFrame) -> DataFrame:
+def merge(records: DataFrame, co_partition: bool = True) -> DataFrame:
     """One row for each entity: candidate_id, merged_from, and each field as the list of its distinct values.
 
     Lists hold structs (item_key, item, provenance), scalars and location (item_key, value, provenance),
     sorted by key; resolve() picks the scalars' winners.
+
+    co_partition deals the records by entity first, which saves an exchange a family. Without it the
+    group-bys combine before they shuffle and deal by (entity, key): for few entities with very many
+    records each.
     """
-    own = spread(records)
+    own = spread(records) if co_partition else records
     out = candidate_ids(own)
     parts = [_options(merge_scalars(own), SCALARS), _options(merge_locations(own), ("location",)), *[_listed(merge_list(own, f), f) for f in FAMILIES]]
     for part in parts:

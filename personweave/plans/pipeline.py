@@ -19,10 +19,17 @@ def union_sources(sources: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
 
 
-def fuse(sources: list[DataFrame], as_of: str, formula: Formula | None = None) -> DataFrame:
-    """One scored entity for each entity_key."""
+def fuse(sources: list[DataFrame], as_of: str, formula: Formula | None = None, staged: str | None = None, co_partition: bool = True) -> DataFrame:
+    """One scored entity for each entity_key.
+
+    staged: a shared path where the normalised records are written once, so that the families, each of
+    which reads its own columns, scan columnar files instead of parsing the sources again.
+    """
     records = normalize(union_sources(sources), as_of, with_logs=False)
-    return with_derived(score(resolve(merge(records)), formula))
+    if staged:
+        records.write.mode("overwrite").parquet(staged)
+        records = records.sparkSession.read.schema(records.schema).parquet(staged)
+    return with_derived(score(resolve(merge(records, co_partition)), formula))
 
 
 def generate_output(canonical: DataFrame, config: dict, schema: dict | None = None, strict: bool = False) -> DataFrame:

@@ -84,6 +84,11 @@ def test_profiles(spark):
     assert (parts["city"], parts["state"], parts["state_code"], parts["country_code"]) == ("Austin", None, "TX", "US")
 
 
+def test_levels_and_empty_places(spark):
+    assert value(spark, "Expert", profile.proficiency_weight) == 1.0 and value(spark, None, profile.proficiency_weight) == 0.0
+    assert value(spark, None, profile.location_is_empty, "struct<raw:string,city:string,state:string,state_code:string,country:string,country_code:string,postal_code:string>")
+
+
 def test_lines(spark):
     assert value(spark, "=== Work  Experience: ===", lines.normalize_line) == "work experience"
     assert value(spark, "TOOLS", lines.heading_section) == "skills" and value(spark, "my tools", lines.heading_section) is None

@@ -99,6 +99,13 @@ def test_source_order_does_not_change_the_keys(spark):
     assert keys([0, 1, 2]) == keys([2, 1, 0]) == ["go", "javascript"]
 
 
+def test_staged_and_combined_forms_agree(spark, tmp_path):
+    rows = [one(spark, k, "csv", f"s{k}", skills=skill(n), emails=email("a@x.co"), summary=F.lit(f"t{k}")) for k, n in enumerate(("js", "JavaScript", "go"))]
+    plain = fuse(rows, AS_OF).collect()
+    assert fuse(rows, AS_OF, staged=str(tmp_path / "records")).collect() == plain
+    assert fuse(rows, AS_OF, co_partition=False).collect() == plain
+
+
 def test_one_exchange_for_the_input(spark):
     rows = normalize.normalize(one(spark, 0, "csv", "c", skills=skill("go")), AS_OF, with_logs=False)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
