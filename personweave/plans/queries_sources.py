@@ -350,3 +350,14 @@ def json_coerce_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.from_json("props", "k bigint, name string", {"mode": "PERMISSIVE"})
     mode = json_paths.value_at(F.coalesce(F.try_parse_json("config"), F.parse_json(F.lit('{"mode":"fallback"}'))), "mode")
     return df.select("event_id", F.coalesce(p["k"], F.lit(0)).alias("k"), F.coalesce(p["name"], F.lit("")).alias("name"), mode.alias("mode"))
+
+
+@add("""
+WITH n AS (SELECT user_id AS username, event_id, unnest(CASE event_id % 4 WHEN 0 THEN [event_type] WHEN 1 THEN [event_type, 'my_lib'] WHEN 2 THEN ['CI'] ELSE ['React'] END) AS name, event_id % 4 AS k FROM events)
+SELECT username, concat(upper(replace(name, '_', ' ')[1]), replace(name, '_', ' ')[2:]) AS name, count(*)::BIGINT AS n, count(DISTINCT CASE k WHEN 0 THEN 'github languages' WHEN 1 THEN 'u/r topics' WHEN 2 THEN 'u/r workflows' ELSE 'u/r README' END)::BIGINT AS contexts
+FROM n GROUP BY username, concat(upper(replace(name, '_', ' ')[1]), replace(name, '_', ' ')[2:])""")
+def payload_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    landed = frame(spark, sf_dir, """SELECT user_id AS username, 1 AS rank, 'u/r' AS full_name, element_at(array('languages', 'topics', 'workflows', 'readme'), cast(event_id % 4 + 1 as int)) AS kind, cast(event_id as string) AS path,
+        CASE event_id % 4 WHEN 0 THEN concat('{{"', event_type, '":9}}') WHEN 1 THEN concat('{{"names":["', event_type, '","my_lib"]}}') WHEN 2 THEN '{{"workflows":[{{"name":"CI"}},{{}}]}}' ELSE '{{"encoding":"base64","content":"dXNlcyBSRUFDVA=="}}' END AS payload FROM {events}""")
+    rows = repo_api.evidence(landed)
+    return rows.groupBy("username", repo_api.technology_name(F.col("name")).alias("name")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("context").alias("contexts"))

@@ -35,6 +35,8 @@ EXTRACTED = {
     "education": EDUCATION,
     "profiles": PROFILES,
     "warnings": WARNINGS,
+    "raw_text": "string",
+    "metadata": "map<string,string>",
 }
 
 SOURCE_TYPES = ("resume", "csv", "ats_json", "github", "linkedin", "recruiter_notes", "manual")

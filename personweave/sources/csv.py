@@ -109,7 +109,7 @@ def _cell(df: DataFrame, *names: str) -> Column:
 
 
 def typed_row(df: DataFrame) -> dict[str, Column]:
-    """What a typed row adds to its person: a struct each for education, skills and projects, a string for certifications; else null."""
+    """What a typed row adds to its person: a struct each for education, skills, projects, and (name, issuer) for certifications; else null."""
     kind = F.lower(_cell(df, "record_type"))
     institution, tech, project, cert = (_cell(df, *n) for n in (("institutionname",), ("technology", "skill"), ("projectname",), ("certificatename",)))
     scale = F.coalesce(_cell(df, "gradingscale").try_cast("double"), F.lit(4.0))
@@ -117,13 +117,13 @@ def typed_row(df: DataFrame) -> dict[str, Column]:
     skill = record(SKILLS, name=tech, source_context=F.concat(F.lit("csv:technology:"), tech), is_inferred=F.lit(False), github_occurrence_count=F.lit(1))
     stack = F.coalesce(F.filter(F.transform(F.split(_cell(df, "stack"), ";"), trim_ws), lambda x: x != ""), F.array().cast("array<string>"))
     role = record(ROLES, company=F.lit("Personal Project"), title=project, description=_cell(df, "overview"), is_current=F.coalesce(F.lower(_cell(df, "ongoing")).isin("true", "1", "yes"), F.lit(False)), technologies=stack)
-    certificate = F.concat_ws(" - ", cert, _cell(df, "issuer"))
+    certificate = F.struct(cert.alias("name"), F.coalesce(_cell(df, "issuer"), F.lit("Unknown")).alias("issuer"))
     pick = lambda name, value, c: F.when((kind == name) & value.isNotNull(), c)
     return {"education": pick("education", institution, study), "skills": pick("skill", tech, skill), "projects": pick("project", project, role), "certifications": pick("certification", cert, certificate)}
 
 
 def grouped(df: DataFrame, order: Column | None = None, custom: dict[str, str] | None = None, compat_grouping: bool = False) -> DataFrame:
-    """One extracted record for each uid, with its typed rows, and a column certifications.
+    """One extracted record for each uid, with its typed rows; certifications are JSON in its metadata.
 
     Rows without a uid stand alone. Scalars are the first that are not blank, lists keep first items,
     addresses and numbers without repeats. `order` places rows (default: as scanned). Rows whose GPA
@@ -150,5 +150,5 @@ def grouped(df: DataFrame, order: Column | None = None, custom: dict[str, str] |
     given["skills"] = F.col("t_skills") if compat_grouping else F.concat("skills", "t_skills")
     given |= {"experience": none if compat_grouping else F.col("experience"), "profiles": none if compat_grouping else F.col("profiles"), "education": F.col("t_education"), "projects": F.col("t_projects")}
     source = F.concat(F.lit("csv:"), F.col("__uid"))
-    records = extracted(out, entity_key=F.col("__uid"), src_ord=F.col("__ord"), source_type=F.lit("csv"), source_id=source, **given)
-    return records.join(out.select(F.col("__uid").alias("entity_key"), F.array_distinct("t_certifications").alias("certifications")), "entity_key")
+    given["metadata"] = F.create_map(F.lit("certifications"), F.to_json(F.array_distinct("t_certifications")))
+    return extracted(out, entity_key=F.col("__uid"), src_ord=F.col("__ord"), source_type=F.lit("csv"), source_id=source, **given)

@@ -120,4 +120,5 @@ def read(df: DataFrame, payload: Column, paths: dict[str, str], label: str = "at
         experience=current_role(get("current_company"), get("current_title")),
         profiles=links(urls),
         warnings=bad,
+        metadata=F.create_map(F.lit("source_label"), F.lit(label), F.lit("ats_id"), scalar_at(v, id_path)),
     )

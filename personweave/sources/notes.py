@@ -43,9 +43,21 @@ def observations(text: Column) -> Column:
 
 
 def read(df: DataFrame, text: str = "text", entity_key: Column | None = None, src_ord: Column | None = None) -> DataFrame:
-    """One extracted record for each note that is not blank; keywords and observations stand beside."""
+    """One extracted record for each note that is not blank; its metadata has soft skills, keywords and observations as JSON."""
     kept = df.withColumn("__text", trim_ws(F.col(text))).where("__text <> ''")
     t = F.col("__text")
     source_id = F.concat(F.lit("recruiter_notes:"), content_hash(t, 16))
     skills = F.transform(soft_skills(t), lambda s: record(SKILLS, name=s, category=F.lit("soft_skill"), source_context=F.lit("recruiter notes"), is_inferred=F.lit(False), github_occurrence_count=F.lit(1)))
-    return extracted(kept, entity_key=source_id if entity_key is None else entity_key, src_ord=F.lit(0) if src_ord is None else src_ord, source_type=F.lit("recruiter_notes"), source_id=source_id, summary=summary(t), skills=skills)
+    found = {"soft_skills": soft_skills(t), "keywords": keywords(t), "candidate_observations": observations(t)}
+    metadata = F.create_map(*[x for k, v in found.items() for x in (F.lit(k), F.to_json(v))])
+    return extracted(
+        kept,
+        entity_key=source_id if entity_key is None else entity_key,
+        src_ord=F.lit(0) if src_ord is None else src_ord,
+        source_type=F.lit("recruiter_notes"),
+        source_id=source_id,
+        summary=summary(t),
+        skills=skills,
+        raw_text=t,
+        metadata=metadata,
+    )

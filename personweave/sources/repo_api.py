@@ -9,7 +9,7 @@ from ..functions import contact
 from ..functions.text import blank_to_null, decode_base64, trim_ws
 from ..schemas import LOCATION, PROFILES, SKILLS, extracted, record
 
-PROFILE = "login string, name string, bio string, location string, html_url string, blog string, followers bigint, public_repos bigint"
+PROFILE = "login string, name string, bio string, location string, html_url string, company string, blog string, followers bigint, following bigint, public_repos bigint"
 #: Technologies looked for in a readme, and those that a file's name implies.
 README_KNOWN = ("React", "TypeScript", "JavaScript", "Python", "Django", "FastAPI", "Flask", "Docker", "Kubernetes", "AWS", "PostgreSQL", "Redis", "Tailwind CSS", "Vite")
 SPELLINGS = {"reactjs": "React", "nodejs": "Node.js", "node": "Node.js", "tailwindcss": "Tailwind CSS"}
@@ -33,9 +33,10 @@ def profile_fields(payload: Column) -> dict[str, Column]:
     clean = lambda n: blank_to_null(p[n])
     link = record(PROFILES, platform=F.lit("github"), url=contact.clean_url(clean("html_url")), username=clean("login"))
     return {
-        "full_name": clean("name"),
+        "full_name": F.coalesce(clean("name"), clean("login")),
         "summary": clean("bio"),
         "location": F.when(clean("location").isNotNull(), record(LOCATION, raw=clean("location"))),
+        "metadata": F.create_map(F.lit("github_profile"), F.to_json(F.struct(*[p[n].alias(n) for n in ("login", "company", "blog", "followers", "following", "public_repos")]))),
         "profiles": F.when(clean("html_url").isNotNull(), F.array(link)).otherwise(F.array().cast(PROFILES)),
     }
 

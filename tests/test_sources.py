@@ -15,7 +15,7 @@ def test_csv_file(spark, tmp_path):
     assert [w["raw"] for w in ann["warnings"]] == ["bad"]
     assert [s["name"] for s in ann["skills"]] == ["js", "go"] and ann["experience"][0]["title"] == "Unknown"
     assert ann["projects"][0]["technologies"] == ["a", "b"] and ann["projects"][0]["is_current"]
-    assert ann["certifications"] == ["Cert - Org"] and ann["profiles"][0]["platform"] == "linkedin"
+    assert ann["metadata"]["certifications"] == '[{"name":"Cert","issuer":"Org"}]' and ann["profiles"][0]["platform"] == "linkedin"
     assert len(by) == 2 and [r["first_name"] for k, r in by.items() if k.startswith("row_")] == ["Bob"]
     compat = csv.grouped(df, compat_grouping=True).where("entity_key = 'u1'").first()
     assert not compat["skills"] and not compat["experience"] and not compat["profiles"]
@@ -40,14 +40,14 @@ def test_gpa_above_its_scale(spark):
 def test_json(spark):
     payload = '{"id":7,"name":"Ann Lee","emails":["a@x.co","b@x.co"],"phones":[{"value":"212-555-0187","type":"mobile"},null],"tags":["go"," js ",""],"links":["https://github.com/ann"],"headline":"Lead","location":"Austin, TX"}'
     df = spark.createDataFrame([(payload,), ("not json",), (None,)], "p string")
-    rows = json_paths.read(df, F.col("p"), json_paths.LISTING_VENDOR, "lever").collect()
+    rows = json_paths.read(df, F.col("p"), json_paths.LISTING_VENDOR, "board").collect()
     ann = rows[0]
-    assert ann["source_id"] == "lever:7" and ann["full_name"] == "Ann Lee"
+    assert ann["source_id"] == "board:7" and ann["full_name"] == "Ann Lee"
     assert [e["address"] for e in ann["emails"]] == ["a@x.co"]
     assert [(p["raw"], p["type"]) for p in ann["phones"]] == [("212-555-0187", "unknown")]
     assert [s["name"] for s in ann["skills"]] == ["go", "js"] and ann["profiles"][0]["platform"] == "github"
     assert ann["experience"][0]["company"] == "Unknown" and ann["location"]["raw"] == "Austin, TX"
-    assert all(r["source_id"] == "lever:unknown" and r["emails"] == [] for r in rows[1:])
+    assert all(r["source_id"] == "board:unknown" and r["emails"] == [] for r in rows[1:])
     flat = spark.createDataFrame([('{"id":"1","first_name":"A","skills":"x, y","email":"bad"}',)], "p string")
     row = json_paths.read(flat, F.col("p"), json_paths.FLAT).first()
     assert [s["name"] for s in row["skills"]] == ["x", "y"] and [w["raw"] for w in row["warnings"]] == ["bad"]
@@ -74,6 +74,7 @@ def test_repositories(spark):
 def test_notes(spark):
     df = spark.createDataFrame([("Noted leadership. Good C# work.",), ("  ",), (None,)], "text string")
     rows = notes.read(df).collect()
+    assert rows[0]["metadata"]["soft_skills"] == '["Leadership"]' and "work" in rows[0]["metadata"]["keywords"]
     assert len(rows) == 1 and rows[0]["summary"] == "Noted leadership." and [s["name"] for s in rows[0]["skills"]] == ["Leadership"]
 
 
