@@ -51,3 +51,8 @@ def test_very_long_text(spark, docs):
     text = "\n".join(f"line {i}" for i in range(30_000))
     found = {r["doc_id"]: r["m"] for r in dedup_lines(docs([(1, text), (2, text + "\nend")]), counts=("n", "m")).collect()}
     assert found == {1: 0, 2: 30_000}
+
+
+def test_native_plan(spark, docs):
+    plan = dedup_lines(docs([(1, "a\nb\nc")]))._jdf.queryExecution().executedPlan().toString()
+    assert not any(n in plan for n in ("Python", "Arrow", "Pandas", "Cartesian", "NestedLoop"))
