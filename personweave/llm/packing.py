@@ -24,12 +24,13 @@ from .batches import checkpointed, map_texts
 
 CAPACITY = 2048
 SHARD_PIECES = 10_000
-#: Words a worker remembers at most twice: what was not met among the last so many is forgotten.
-CACHE_WORDS = 600_000
+#: Words and their parts that a worker remembers, twice as many at most: what was not met among the last so many is forgotten.
+CACHE_WORDS, CACHE_PARTS = 300_000, 100_000
 
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Below U+0250 every character is stable under NFC and lower-cases alone, so words can be split here.
 _PLAIN = re.compile(r"[\x00-\u024f]*\Z")
+_SIGNS = frozenset(".,;:!?")
 #: Python's split() takes these four for white space, the tokenizer does not.
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
 
@@ -76,10 +77,17 @@ class WordTokenizer:
     def _word(self, word: str) -> bytes:
         found = self.old_words.get(word)
         if found is None:
-            if _PLAIN.match(word):
-                found = b"".join(map(self._part, _SPLIT.findall(word.lower())))
-            else:
+            if not word.isascii() and not _PLAIN.match(word):
                 found = self._pack(self.whole.encode(word, add_special_tokens=False).ids)
+            else:
+                low = word.lower()
+                # letters alone, or with one sign at their end, split without the pattern
+                if low.isalpha():
+                    found = self._part(low)
+                elif low[-1] in _SIGNS and low[:-1].isalpha():
+                    found = self._part(low[:-1]) + self._part(low[-1])
+                else:
+                    found = b"".join(map(self._part, _SPLIT.findall(low)))
         self.words[word] = found
         return found
 
@@ -89,7 +97,7 @@ class WordTokenizer:
             return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
         if len(self.words) > CACHE_WORDS:
             self.old_words, self.words = self.words, {}
-        if len(self.parts) > CACHE_WORDS:
+        if len(self.parts) > CACHE_PARTS:
             self.old_parts, self.parts = self.parts, {}
         get, word = self.words.get, self._word
         return b"".join([get(w) or word(w) for w in text.split()])
