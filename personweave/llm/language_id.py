@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import importable, map_texts
+from .batches import importable, map_texts, slices
 
 #: Bounds of the sample: languages, documents a language, letters of each, bytes of a dictionary.
 LANGUAGES, SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 256, 200, 4096, 131_072
@@ -133,10 +133,8 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mask = []
-            for text in batch.column(at).to_pylist():
-                lang, margin = model.classify(text)
-                mask.append(lang != "und" and margin >= NARROW)
-            yield batch.filter(pa.array(mask, pa.bool_()))
+            for part in slices(batch, at):
+                found = [model.classify(t) for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array([lang != "und" and margin >= NARROW for lang, margin in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

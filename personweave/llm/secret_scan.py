@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .batches import importable, map_texts
+from .batches import importable, map_texts, slices
 
 #: Kinds of the base patterns, in the order of their listing, then those that linking adds.
 KINDS = ("assign", "access", "hex", "linked_key", "linked_endpoint")
@@ -140,7 +140,8 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([redact(t, mark) for t in batch.column(at).to_pylist()], batch.column(at).type)
-            yield batch.set_column(at, batch.schema.field(at), texts)
+            for part in slices(batch, at):
+                texts = pa.array([redact(t, mark) for t in part.column(at).to_pylist()], part.column(at).type)
+                yield part.set_column(at, part.schema.field(at), texts)
 
     return docs.mapInArrow(run, docs.schema)
