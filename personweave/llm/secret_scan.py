@@ -3,7 +3,8 @@
 Base patterns give spans of their own. Besides, three weak kinds are candidates: bare keys (40 and
 more letters of base 64 with a digit, upper and lower case), endpoints (host names behind a scheme or of a
 cloud service) and account numbers after a label. A scope is the text within SCOPE characters of an access identifier, cut at
-blank lines. Candidates are joined to scopes by a sweep over sorted intervals, and are reported only
+blank lines. Candidates are found in the whole text and joined to scopes by a sweep over sorted intervals:
+one that lies in a scope with any of its letters belongs to it as a whole. They are reported only
 where complementary parts meet: a key beside an access identifier, an endpoint beside both.
 """
 
@@ -42,6 +43,20 @@ def base_spans(text: str) -> list[Span]:
     return out + [("hex", *m.span()) for m in _LONG_HEX.finditer(text)]
 
 
+def joined(spans: list[tuple[int, int]], scopes: list[list[int]]) -> list[range]:
+    """For each scope the places of the spans that overlap it; both lists are sorted and free of overlaps."""
+    out, at = [], 0
+    for low, high in scopes:
+        while at < len(spans) and spans[at][1] <= low:
+            at += 1
+        to = at
+        while to < len(spans) and spans[to][0] < high:
+            to += 1
+        out.append(range(at, to))
+        at = max(at, to - 1)
+    return out
+
+
 def linked_spans(text: str, base: Iterable[Span]) -> list[Span]:
     """Weak candidates that meet their complementary parts within a scope."""
     anchors = sorted((a, b) for kind, a, b in base if kind == "access")
@@ -57,22 +72,23 @@ def linked_spans(text: str, base: Iterable[Span]) -> list[Span]:
             scopes[-1][1] = max(scopes[-1][1], high)
         else:
             scopes.append([low, high])
-    out: list[Span] = []
     taken = sorted((a, b) for kind, a, b in base if kind != "assign")
-    strong = sorted((a, b) for kind, a, b in base if kind != "access")
-    for low, high in scopes:
-        keys = []
-        for m in _KEY.finditer(text, low, high):
-            s = m[0]
-            k = bisect_left(taken, (m.start(), 0))
-            overlaps = any(a < m.end() and b > m.start() for a, b in taken[max(0, k - 1) : k + 1])
-            if not overlaps and re.search("[0-9]", s) and re.search("[A-Z]", s) and re.search("[a-z]", s):
-                keys.append(("linked_key", *m.span()))
-        out += keys
-        k = bisect_left(strong, (low, 0))
-        if keys or (k < len(strong) and strong[k][1] <= high):
-            out += [("linked_endpoint", *m.span()) for m in _ENDPOINT.finditer(text, low, high)]
-    return out
+    keys = []
+    for m in _KEY.finditer(text):
+        s = m[0]
+        # a key is a whole run of letters that access and hex spans consist of, so one that it meets starts inside
+        k = bisect_left(taken, (m.start(), 0))
+        overlaps = k < len(taken) and taken[k][0] < m.end()
+        if not overlaps and re.search("[0-9]", s) and re.search("[A-Z]", s) and re.search("[a-z]", s):
+            keys.append(m.span())
+    near = joined(keys, scopes)
+    out: set[Span] = {("linked_key", *keys[i]) for found in near for i in found}
+    strong = [joined([(a, b) for kind, a, b in base if kind == one], scopes) for one in ("assign", "hex")]
+    paired = [scope for scope, *found in zip(scopes, near, *strong, strict=True) if any(found)]
+    if paired:
+        ends = [m.span() for m in _ENDPOINT.finditer(text)]
+        out |= {("linked_endpoint", *ends[i]) for found in joined(ends, paired) for i in found}
+    return sorted(out, key=lambda s: s[1:])
 
 
 def find(text: str | None) -> list[Span]:
