@@ -22,7 +22,7 @@ from .batches import map_texts
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", "EMAIL", "IP", "CARD", "PHONE", "ID")
 SEQUENCE = 512
-#: Tokens whose shapes a worker remembers; then it starts anew.
+#: Shapes, and tokens with their shapes, that a worker remembers; with more shapes it starts anew at the next slice.
 CACHE = 300_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -184,13 +184,17 @@ class ShapeCrf:
         self.before[row] = self.weights.get(f"b:{short}", zero)
         self.after[row] = self.weights.get(f"a:{short}", zero)
 
+    def trim(self) -> None:
+        """Forgets the shapes if there are too many. Rows given out before are void then, so only between slices."""
+        if len(self.shapes) > CACHE:
+            self.shapes = {"": 0}
+            self.tokens.clear()
+            self.own, self.before, self.after = (m[:1].copy() for m in (self.own, self.before, self.after))
+
     def shape_id(self, token: str) -> int:
         of = shape(token)
         row = self.shapes.get(of)
         if row is None:
-            if len(self.shapes) > CACHE:
-                self.shapes = {"": 0}
-                self.tokens.clear()
             row = self.shapes[of] = len(self.shapes)
             if row >= len(self.own):
                 self.own, self.before, self.after = (np.concatenate([m, np.zeros((max(64, len(m)), m.shape[1]))]) for m in (self.own, self.before, self.after))
@@ -330,6 +334,7 @@ def find_batch(texts: list[str | None], model: ShapeCrf) -> list[tuple[list[Span
     ids: list[int] = []
     lengths: list[int] = []
     ends = []
+    model.trim()
     get, shape_id = model.tokens.get, model.shape_id
     for text in texts:
         for line in (text or "").split("\n"):
