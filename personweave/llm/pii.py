@@ -3,7 +3,7 @@
 The field has one state for each label. A token's features are its own shape, short shape and a few
 properties of it, and the short shapes of its neighbours, so that its scores depend on shapes alone and
 are looked up. It is trained by gradient ascent on a small labelled table and decoded by Viterbi in numpy,
-all sequences of a batch at a time. A sequence is a line, cut at SEQUENCE tokens.
+all sequences of a batch at a time. A sequence is a whole line.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from .batches import map_texts
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", "EMAIL", "IP", "CARD", "PHONE", "ID")
-SEQUENCE = 512
 #: Shapes, and tokens with their shapes, that a worker remembers; with more shapes it starts anew at the next slice.
 CACHE = 300_000
 
@@ -340,7 +339,8 @@ def find_batch(texts: list[str | None], model: ShapeCrf) -> list[tuple[list[Span
         for line in (text or "").split("\n"):
             own = [get(t) if t in model.tokens else shape_id(t) for t in line.split()]
             ids += own
-            lengths += [min(SEQUENCE, len(own) - a) for a in range(0, len(own), SEQUENCE)]
+            if own:
+                lengths.append(len(own))
         ends.append(len(ids))
     labels = model.decode(np.array(ids), np.array(lengths)) if ids else np.zeros(0, np.int8)
     marked = np.r_[0, np.cumsum(labels != 0)]
