@@ -23,6 +23,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", "EMAIL", "IP", "CARD", "PHONE", "ID")
 #: Shapes, and tokens with their shapes, that a worker remembers; with more shapes it starts anew at the next slice.
 CACHE = 300_000
+#: Letters of remembered shapes after which it starts anew as well, and of a token that is remembered.
+CACHE_LETTERS, TOKEN_LETTERS = 32 << 20, 64
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -138,7 +140,7 @@ def base_spans(text: str) -> list[Span]:
 def shape(token: str) -> str:
     """Letters to x or X, runs of them to two; digits to 0, runs over four to five; other signs stay, runs to two."""
     out, last, run = [], "", 0
-    for c in token[:64]:
+    for c in token:
         s = "0" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c if c < "\x7f" else "¤"
         run = run + 1 if s == last else 1
         last = s
@@ -167,6 +169,7 @@ class ShapeCrf:
         self.weights, self.transitions, self.starts = weights, transitions, starts
         self.shapes: dict[str, int] = {"": 0}
         self.tokens: dict[str, int] = {}
+        self.letters = 0
         n = len(LABELS)
         self.own, self.before, self.after = (np.zeros((1, n)) for _ in range(3))
         self._sum(0, [], "^")
@@ -185,8 +188,8 @@ class ShapeCrf:
 
     def trim(self) -> None:
         """Forgets the shapes if there are too many. Rows given out before are void then, so only between slices."""
-        if len(self.shapes) > CACHE:
-            self.shapes = {"": 0}
+        if len(self.shapes) > CACHE or self.letters > CACHE_LETTERS:
+            self.shapes, self.letters = {"": 0}, 0
             self.tokens.clear()
             self.own, self.before, self.after = (m[:1].copy() for m in (self.own, self.before, self.after))
 
@@ -195,10 +198,11 @@ class ShapeCrf:
         row = self.shapes.get(of)
         if row is None:
             row = self.shapes[of] = len(self.shapes)
+            self.letters += len(of)
             if row >= len(self.own):
                 self.own, self.before, self.after = (np.concatenate([m, np.zeros((max(64, len(m)), m.shape[1]))]) for m in (self.own, self.before, self.after))
             self._sum(row, *_features(of))
-        if len(self.tokens) < CACHE:
+        if len(self.tokens) < CACHE and len(token) <= TOKEN_LETTERS:
             self.tokens[token] = row
         return row
 
