@@ -1,11 +1,12 @@
 """Secret scans with multipart credential linking.
 
-Base patterns give spans of their own. Besides, three weak kinds are candidates: bare keys (40 and
-more letters of base 64 with a digit, upper and lower case), endpoints (host names behind a scheme or of a
-cloud service) and account numbers after a label. A scope is the text within SCOPE characters of an access identifier, cut at
+Base patterns give spans of their own. Besides, two weak kinds are candidates: bare keys (40 and
+more letters of base 64 with a digit, upper and lower case) and endpoints (host names behind a scheme or of a
+cloud service). A scope is the text within SCOPE characters of an access identifier, cut at
 blank lines. Candidates are found in the whole text and joined to scopes by a sweep over sorted intervals:
 one that lies in a scope with any of its letters belongs to it as a whole. They are reported only
-where complementary parts meet: a key beside an access identifier, an endpoint beside both.
+where complementary parts meet: a key beside an access identifier, an endpoint beside an access identifier
+and a key or another base secret. Only access identifiers anchor a scope.
 """
 
 from __future__ import annotations
