@@ -47,14 +47,15 @@ class WordTokenizer:
 
     Normalising, splitting and merging never reach across white space, so a text's ids are those of
     its words. Words below U+0250 are split here and only their parts go to the model; all other
-    words go through the whole tokenizer.
+    words, and texts that hold an added token such as <|endoftext|>, go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        #: Tokens that the library takes out of a text before it normalises and splits the rest.
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.model, self.letters = self.whole.model, _byte_letters()
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -93,7 +94,7 @@ class WordTokenizer:
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if _SEPARATORS.search(text):
+        if _SEPARATORS.search(text) or any(t in text for t in self.added):
             return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
         if len(self.words) > CACHE_WORDS:
             self.old_words, self.words = self.words, {}

@@ -20,6 +20,18 @@ def test_words_equal_whole_texts(tok):
         assert np.frombuffer(tok(text), "<u4").tolist() == tok.whole.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_as_in_the_library(tok):
+    from tokenizers import Tokenizer
+
+    fresh, rng = Tokenizer.from_file(packing.word_file()), random.Random(3)
+    ids = lambda t: np.frombuffer(tok(t), "<u4").tolist()
+    assert ids("a <|endoftext|> b") == [320, 49407, 321]
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "endoftext", "|>", "a", "É", "'s", " ", "\n", "1", "!", "漢", "\x1c"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 20)))
+        assert ids(text) == fresh.encode(text, add_special_tokens=False).ids, text
+
+
 def brute(lengths, capacity):
     """Sum of squares, by counting all bins anew for each choice."""
     bins = []
