@@ -69,7 +69,7 @@ def linked_spans(text: str, base: Iterable[Span]) -> list[Span]:
         k = bisect_left(edges, a)
         low = max(a - SCOPE, edges[k - 1] if k else 0)
         high = min(b + SCOPE, edges[k] if k < len(edges) else len(text))
-        if scopes and low <= scopes[-1][1]:
+        if scopes and low < scopes[-1][1]:
             scopes[-1][1] = max(scopes[-1][1], high)
         else:
             scopes.append([low, high])
