@@ -31,7 +31,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     both = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", both), (-7, 1, "assistant", both)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.format_conversations(messages.unionByName(own)))
+    return chat.read_back(chat.format_conversations(messages.unionByName(own), parts=chat.illustrated))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
