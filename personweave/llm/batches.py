@@ -1,30 +1,25 @@
-"""What the operators here share: Arrow batches in bounded slices, worker imports, checkpoints."""
+"""What the operators here share: Arrow batches in bounded slices, staged tables, names of columns."""
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import importable
 
 #: Bytes of text that a slice holds at most, unless one text alone is longer.
 SLICE_BYTES = 4 << 20
 SLICE_ROWS = 2048
 
 
-def importable(spark: SparkSession) -> None:
-    """Lets Python workers of a local session import this package; a cluster gets it by --py-files."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    have = env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")
-    if root not in have.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir.
 
@@ -45,10 +40,47 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+_SCRATCH: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession, folder: str) -> Iterator[None]:
+    """What is staged inside goes to this folder, which is removed at the end: results must be written by then."""
+    _SCRATCH.append(folder)
+    try:
+        yield
+    finally:
+        _SCRATCH.pop()
+        remove(spark, folder)
+
+
+def staged(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows, written to the shared folder and read again, so that no lost executor takes them along; and their path."""
+    spark = df.sparkSession
+    path = f"{_SCRATCH[-1] if _SCRATCH else shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, kept in the shared folder, so that no lost executor takes them along."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """staged() without the path: for rows that a lazy result reads."""
+    return staged(df)[0]
+
+
+def quoted(name: str) -> str:
+    """A column's name as F.col() takes it, whatever stands in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores added until no column has them, in any case of letters."""
+    used, out = {n.lower() for n in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def slices(batch: pa.RecordBatch, column: str | int, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
@@ -81,4 +113,4 @@ def map_texts(
                 columns = work(part.column("id").to_pylist(), part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).alias("text")).mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import checkpointed
+from .batches import remove, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,14 +28,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def component_roots(links: DataFrame) -> DataFrame:
     """(node, root): the least node reachable, for each node of the links (a, b); no row for lone nodes.
 
-    Links may repeat, run either way or join a node to itself. Each round is checkpointed and compared
-    with the last by number and sums alone.
+    Links may repeat, run either way or join a node to itself. Each round is a staged table, removed once
+    the next one is, and compared with the last by number and sums alone. The last one stays: the result reads it.
     """
-    edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges, path = staged(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
         if now == seen or not now[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = now
-        edges = checkpointed(_star(_star(edges, True), False))
+        seen, old = now, path
+        edges, path = staged(_star(_star(edges, True), False))
+        remove(links.sparkSession, old)

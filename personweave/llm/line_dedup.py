@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import free_names, quoted
+
 WINDOW = 3
 
 
@@ -24,9 +26,9 @@ def _windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(__id, __th, __pos, __a, __b, __c): every window with a line that is not empty."""
     blank = F.xxhash64(F.lit(""))
     hashed = docs.select(
-        F.col(id_col).alias("__id"),
-        F.xxhash64(F.col(text_col)).alias("__th"),
-        F.transform(_lines(F.col(text_col)), lambda x: F.xxhash64(x)).alias("__h"),
+        F.col(quoted(id_col)).alias("__id"),
+        F.xxhash64(F.col(quoted(text_col))).alias("__th"),
+        F.transform(_lines(F.col(quoted(text_col))), lambda x: F.xxhash64(x)).alias("__h"),
     ).where(F.size("__h") >= WINDOW)
     count = F.size("__h") - (WINDOW - 1)
     zipped = F.arrays_zip(*[F.slice("__h", k + 1, count).alias(n) for k, n in enumerate("abc")])
@@ -68,19 +70,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts: names of two more columns, the number of lines and of those removed (0 for null text);
     columns of these names are replaced.
     """
-    runs = covered_runs(docs, id_col, text_col).hint("shuffle_hash")
-    text = F.col(text_col)
-    joined = docs.withColumn("__text_hash", F.xxhash64(text)).join(runs, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__th")), "left")
+    i, h, th, starts, ends = free_names([*docs.columns, *(counts or ())], "__id", "__text_hash", "__th", "__starts", "__ends")
+    # the built side holds a few numbers a document, the other one its row
+    runs = covered_runs(docs, id_col, text_col).toDF(i, th, starts, ends).hint("shuffle_hash")
+    text = F.col(quoted(text_col))
+    joined = docs.withColumn(h, F.xxhash64(text)).join(runs, F.col(quoted(id_col)).eqNullSafe(F.col(i)) & (F.col(h) == F.col(th)), "left")
     lines, zero = _lines(text), F.array(F.lit(0))
-    segments = F.arrays_zip(F.concat(zero, "__ends").alias("s"), F.concat(F.col("__starts"), F.array(F.size(lines))).alias("e"))
+    segments = F.arrays_zip(F.concat(zero, ends).alias("s"), F.concat(F.col(starts), F.array(F.size(lines))).alias("e"))
     kept = F.array_join(F.flatten(F.transform(segments, lambda x: F.slice(lines, x["s"] + 1, x["e"] - x["s"]))), "\n")
-    out = {text_col: F.when(F.col("__starts").isNull(), text).otherwise(kept)}
+    out = {text_col: F.when(F.col(starts).isNull(), text).otherwise(kept)}
     names = list(docs.columns)
     if counts:
-        removed = F.aggregate(F.zip_with("__starts", "__ends", lambda s, e: e - s), F.lit(0), lambda a, x: a + x)
+        removed = F.aggregate(F.zip_with(starts, ends, lambda s, e: e - s), F.lit(0), lambda a, x: a + x)
         out |= {counts[0]: F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long"), counts[1]: F.coalesce(removed, F.lit(0)).cast("long")}
         names += [n for n in counts if n not in names]
-    return joined.select(*[out[n].alias(n) if n in out else F.col(f"`{n}`") for n in names])
+    return joined.select(*[out[n].alias(n) if n in out else F.col(quoted(n)) for n in names])
 
 
 ORACLE_SQL = """

@@ -2,12 +2,19 @@
 
 Exact copies collapse first: only distinct fingerprints are compared. A fingerprint is embedded as the
 bit counts of its 32 segments of two bits. Changing one bit changes one count by one, so the Manhattan
-distance of two embeddings is a lower bound of their Hamming distance. If it is at most d, then of any
-d + z groups of segments at least z agree in every count; those are the cells of a grid over some of the
-dimensions, and for each choice of z groups there is one grid. Within a cell the Manhattan distance
-filters, then the Hamming distance decides. A cell gives a spanning forest of its links, never all
-pairs; links that lie in several cells are found in each. z grows with the number of fingerprints, so
-cells stay small; the result is the same for every z.
+distance of two embeddings is a lower bound of their Hamming distance, and links are pairs in range d = 4.
+
+The range join is done on grids of width one over some of the dimensions, so that no neighbouring cell
+needs to be probed. Proof: let u and v be embeddings whose Manhattan distance is at most d, and cut the 32
+dimensions into d + z groups. Counts are whole numbers, so u and v differ in at most d dimensions, which
+lie in at most d groups; they are equal in all dimensions of at least z groups. For each choice
+of z groups there is a grid over their dimensions, so one grid has u and v in the same cell. A pair of
+one cell is compared by its Manhattan distance over all 32 dimensions, then by its Hamming distance,
+so the join gives exactly the links. (One grid over all dimensions would need the 600,000 cells in
+range around each point, and one over few coarse dimensions tells points apart too little.)
+
+A cell gives a spanning forest of its links, never all pairs; links that lie in several cells are found
+in each. z grows with the number of fingerprints, so cells stay small; the result is the same for every z.
 """
 
 from __future__ import annotations
@@ -22,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import checkpointed, importable, map_texts, slices
+from .batches import checkpointed, free_names, importable, map_texts, quoted, slices
 from .components import component_roots
 
 SEED, SHINGLE, RADIUS = 42, 4, 4
@@ -31,13 +38,16 @@ CELL_MEMBERS = 16_384
 #: Fingerprints up to which z = 1 and z = 2 grids are used.
 GRIDS = (4 << 20, 1 << 30)
 
+#: Keys that may be broadcast: fewer than so many can hold more than that part of all rows.
+HOT_KEYS = 10_000
+
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _LOW = np.uint64(0x5555555555555555)
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def fingerprint(text: str | None) -> int:
-    """Of the 4-word shingles' XXH64 values, the majority of each bit; 0 if there is no word.
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Of the shingles' XXH64 values, the majority of each bit; 0 if there is no word.
 
     Words are what stands between ASCII white space, A-Z lower-cased; a text of fewer words has one
     shingle, all its words.
@@ -47,9 +57,9 @@ def fingerprint(text: str | None) -> int:
         return 0
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
-    n = max(1, len(words) - SHINGLE + 1)
+    n = max(1, len(words) - shingle + 1)
     starts = np.r_[0, ends[:-1]][:n].tolist()
-    stops = (ends[min(SHINGLE, len(words)) - 1 :] - 1).tolist()
+    stops = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
     h = xxhash.xxh64_intdigest
     values = np.array([h(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64)
     ones = np.zeros(64, np.int64)
@@ -62,11 +72,11 @@ def signed(fp: int) -> int:
     return fp - (1 << 64) if fp >> 63 else fp
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp long): a row for each row, the 64 bits as a signed integer."""
 
     def make() -> Callable:
-        return lambda ids, texts: [ids, [signed(fingerprint(t)) for t in texts]]
+        return lambda ids, texts: [ids, [signed(fingerprint(t, shingle)) for t in texts]]
 
     return map_texts(docs, make, "doc_id long, fp long", ["doc_id", "fp"], [pa.int64(), pa.int64()], id_col, text_col)
 
@@ -180,59 +190,77 @@ def links(classes: DataFrame, n: int, radius: int = RADIUS, cell_members: int =
     return whole.repartition(*key).sortWithinPartitions(*key).mapInArrow(_cells(radius), "a long, b long")
 
 
+def join_by_hot_key(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with groups (one for each key, n: its rows), whatever part of the rows one key holds.
+
+    Of `total` rows fewer than HOT_KEYS keys can hold more than total / HOT_KEYS each: those groups are
+    broadcast, all others are dealt by the key.
+    """
+    most = max(total / HOT_KEYS, 1000)
+    hot, cold = F.broadcast(groups.where(F.col("n") > most).drop("n")), groups.where(F.col("n") <= most).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def fingerprint_classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, root, component_id): for each distinct fingerprint its component and the smallest doc_id that links reach.
+    """(fp, n, root, component_id): for each distinct fingerprint its rows, its component and the smallest doc_id that links reach.
 
-    prints: (doc_id, fp), kept in a checkpoint by the caller.
+    prints: (doc_id, fp), staged by the caller, as the result is.
     """
     importable(prints.sparkSession)
-    classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = component_roots(links(classes, classes.count(), radius))
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    linked = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(linked, "root").select("fp", "root", "component_id")
+    classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    count = classes.count()
+    roots = component_roots(links(classes, count, radius))
+    rooted = checkpointed(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.col("n").alias("rows"), F.coalesce("root", "fp").alias("root")))
+    linked = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    return checkpointed(join_by_hot_key(rooted, linked, "root", count).select("fp", F.col("rows").alias("n"), "root", "component_id"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row for each document.
 
-    Fingerprints link at `radius` or fewer differing bits; component_id is the smallest doc_id that
-    links reach, a document's own included. Null text and text without words have fingerprint zero
-    and link like any other. Repeated rows stay, equal in all columns. A null id stays null and
+    Fingerprints of `shingle` words link at `radius` or fewer differing bits; component_id is the smallest
+    doc_id that links reach, a document's own included. Null text and text without words have fingerprint
+    zero and link like any other. Repeated rows stay, equal in all columns. A null id stays null and
     is no component's id unless a component has no other. An empty table gives an empty one. Other
     columns are not read.
     """
-    prints = checkpointed(fingerprints(docs, id_col, text_col))
-    found = fingerprint_classes(prints, radius)
-    return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    prints = checkpointed(fingerprints(docs, id_col, text_col, shingle))
+    found = fingerprint_classes(prints, radius).select("fp", "n", "component_id")
+    joined = join_by_hot_key(prints, found, "fp", prints.count())
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, of each component only the one with the smallest id; all columns stay.
+def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """The documents, of each component only the one with the smallest id; all columns stay, whatever their names.
 
     Of rows that repeat id and text one stays. A document of null id stays where it is alone in its
-    component.
+    component. Null text and text without words have fingerprint zero and count as copies of each other.
+    An empty table gives an empty one.
     """
-    names = list(docs.columns)
-    hashed = docs.withColumn("__row_text", F.xxhash64(text_col))
+    names = [quoted(n) for n in docs.columns]
+    row_text, k_id, k_th, k_n = free_names(docs.columns, "__row_text", "__k_id", "__k_th", "__k_n")
+    own_id = F.col(quoted(id_col))
+    hashed = docs.withColumn(row_text, F.xxhash64(quoted(text_col)))
     importable(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                prints = pa.array([signed(fingerprint(t)) for t in part.column("text").to_pylist()], pa.int64())
+                prints = pa.array([signed(fingerprint(t, shingle)) for t in part.column("text").to_pylist()], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), prints], names=["doc_id", "th", "fp"])
 
-    own = hashed.select(F.col(id_col).cast("long").alias("doc_id"), F.col("__row_text").alias("th"), F.col(text_col).alias("text"))
+    own = hashed.select(own_id.cast("long").alias("doc_id"), F.col(row_text).alias("th"), F.col(quoted(text_col)).alias("text"))
     prints = checkpointed(own.mapInArrow(run, "doc_id long, th long, fp long"))
-    found = fingerprint_classes(prints, radius)
-    best = prints.join(found, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = fingerprint_classes(prints, radius).select(F.col("fp").alias("own_fp"), "root", "component_id")
+    # dealt by fingerprint and id, so that copies spread
+    best = prints.join(found, (F.col("fp") == F.col("own_fp")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
     # ids that repeat within a component: one text of them stays
     best = best.groupBy("root", "doc_id", "fp", "th").agg(F.count(F.lit(1)).alias("n"))
     best = checkpointed(best.groupBy("root").agg(F.min(F.struct("doc_id", "fp", "th", "n")).alias("x")).select("x.*"))
-    keepers = best.select(F.col("doc_id").alias("__k_id"), F.col("th").alias("__k_th"), F.col("n").alias("__k_n"))
-    kept = hashed.join(keepers.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__k_id")) & (F.col("__row_text") == F.col("__k_th")))
+    keepers = best.select(F.col("doc_id").alias(k_id), F.col("th").alias(k_th), F.col("n").alias(k_n))
+    # the built side holds three numbers a kept document, the other one its row
+    kept = hashed.join(keepers.hint("shuffle_hash"), own_id.eqNullSafe(F.col(k_id)) & (F.col(row_text) == F.col(k_th)))
     if best.where("n > 1").isEmpty():
-        return kept.select(*[f"`{n}`" for n in names])
-    once, often = kept.where("__k_n = 1"), kept.where("__k_n > 1").dropDuplicates([id_col, "__row_text"])
-    return once.unionByName(often).select(*[f"`{n}`" for n in names])
+        return kept.select(*names)
+    once, often = kept.where(F.col(k_n) == 1), kept.where(F.col(k_n) > 1).dropDuplicates([id_col, row_text])
+    return once.unionByName(often).select(*names)

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from personweave.llm.line_dedup import dedup_lines
 
 
@@ -47,6 +49,21 @@ def test_other_columns_and_empty_table(spark, docs):
     assert dedup_lines(docs([(1, "x")]).limit(0)).count() == 0
 
 
+def test_columns_named_like_those_inside(spark, docs):
+    odd = ["__id", "__th", "__pos", "__starts", "__ends", "__text_hash", "__h", "__w", "__a", "__n", "a.b", "`q`"]
+    df = docs([(1, "a\nb\nc"), (2, "a\nb\nc\nd"), (None, None)])
+    for k, name in enumerate(odd):
+        df = df.withColumn(name, F.lit(f"v{k}"))
+    out = dedup_lines(df, counts=("__N_lines", "__n_removed"))
+    assert out.columns == [*df.columns, "__N_lines", "__n_removed"]
+    rows = {r["doc_id"]: r.asDict() for r in out.collect()}
+    assert {k: r["text"] for k, r in rows.items()} == {1: "a\nb\nc", 2: "d", None: None}
+    assert all(r[name] == f"v{k}" for r in rows.values() for k, name in enumerate(odd))
+    # an id and a text of odd names
+    named = docs([(1, "a\nb\nc"), (2, "a\nb\nc\nd")]).select(F.col("doc_id").alias("x.id"), F.col("text").alias("__th"))
+    assert {tuple(r) for r in dedup_lines(named, "x.id", "__th").collect()} == {(1, "a\nb\nc"), (2, "d")}
+
+
 def test_very_long_text(spark, docs):
     text = "\n".join(f"line {i}" for i in range(30_000))
     found = {r["doc_id"]: r["m"] for r in dedup_lines(docs([(1, text), (2, text + "\nend")]), counts=("n", "m")).collect()}

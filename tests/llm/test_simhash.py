@@ -120,3 +120,31 @@ def test_one_of_each_group_stays(spark, docs):
     found = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
     assert found == sorted([(4, "a b c d e"), (5, None), (9, "f g h i"), (9, "other words altogether here"), (None, "nobody has this one")], key=str)
     assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_columns_named_like_those_inside(spark, docs):
+    odd = ["__row_text", "__k_id", "__k_th", "__k_n", "th", "fp", "root", "n", "a.b", "component_id"]
+    df = docs([(4, "a b c d e"), (4, "a b c d e"), (6, "A B C D E"), (None, "nobody has this one")])
+    for k, name in enumerate(odd):
+        df = df.withColumn(name, F.lit(f"v{k}"))
+    out = simhash.keep_one(df)
+    assert out.columns == df.columns
+    rows = out.collect()
+    assert {r["doc_id"] for r in rows} == {4, None} and len(rows) == 2
+    assert all(r[name] == f"v{k}" for r in rows for k, name in enumerate(odd))
+
+
+def test_hot_keys_join_as_others_do(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_KEYS", 3)
+    rows = spark.createDataFrame([(i, 1) for i in range(5000)] + [(i, 2 + i % 7) for i in range(900)], "id long, k long")
+    groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    found = simhash.join_by_hot_key(rows, groups, "k", 5900)
+    assert found.count() == 5900 and found.where("least = if(k = 1, 0, k - 2)").count() == 5900
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") >= 2
+
+
+def test_shingles_of_other_lengths():
+    text = "a b c d e f"
+    assert simhash.fingerprint(text, 6) == simhash.fingerprint("a b c d e f", 9) == xxhash.xxh64_intdigest(text.encode(), 42)
+    assert simhash.fingerprint(text, 5) != simhash.fingerprint(text, 4)
