@@ -1,6 +1,6 @@
 """Language identification by compression with zstandard raw-content dictionaries.
 
-A dictionary a language is filled from a bounded sample of labelled training documents. A text, lower-cased
+A dictionary a language is filled from a bounded sample of labelled rows. A text, lower-cased
 and reduced to its letters, is compressed in chunks with each dictionary; the language whose sum is
 smallest wins. Where the two smallest are close, they are measured again in finer chunks at a higher
 level, and texts whose margin then stays narrow are rejected.
@@ -12,15 +12,18 @@ import math
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import importable, map_texts, slices
+from .batches import checkpointed, importable, map_texts, quoted, slices
 
-#: Bounds of the sample: languages, documents a language, letters of each, bytes of a dictionary.
-LANGUAGES, SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 256, 200, 4096, 131_072
+#: Bounds of the sample: documents a language, letters of each, bytes of a dictionary.
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 200, 4096, 131_072
+#: Pieces, spread evenly, that make up the letters of a longer document.
+PIECES = 8
 #: (level, bytes of a chunk), for all texts and for close ones.
 COARSE, FINE = (9, 2048), (19, 256)
 #: Margins, as parts of the second smallest size: below CLOSE it is measured again, below NARROW rejected.
@@ -32,7 +35,7 @@ _OTHER = re.compile(r"[\W\d_]+")
 
 def held_out(id_col: str = "doc_id"):
     """Whether crc32 of the id as text is divisible by FOLDS; a null id counts as empty text."""
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
+    return F.crc32(F.coalesce(F.col(quoted(id_col)).cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
 def letters(text: str) -> bytes:
@@ -88,22 +91,64 @@ class LanguageModel:
         return order[0], (sizes[order[1]] - sizes[order[0]]) / sizes[order[1]] if len(order) > 1 else 1.0
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Learns from documents that are not held out and whose text and language are not null.
+def _spread(text: Column, chars: int) -> Column:
+    """A text of up to `chars` letters whole, of a longer one PIECES pieces spread evenly from its start to its end."""
+    size, n = chars // PIECES, F.length(text)
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda k: F.substring(text, F.floor(k * (n - size) / (PIECES - 1)).cast("int") + 1, F.lit(size)))
+    return F.when(n > chars, F.array_join(pieces, " ")).otherwise(text)
 
-    The sample: of the LANGUAGES most frequent ones, SAMPLE_DOCS documents each, the first by a hash of their
-    id, their first SAMPLE_CHARS letters, without repeats, up to DICTIONARY_BYTES. Only these reach the
-    driver, at most 0.8 MB a language.
+
+def _sample(rows: DataFrame, docs: int, chars: int | None) -> DataFrame:
+    """(lang, h, text): of each language the `docs` rows that come first by h, or all if there are fewer.
+
+    rows: (lang, h, text), h a hash of the row. Only rows below a bound on h, set from the counts so that about
+    four times the wanted number pass, are shuffled; languages that fall short (rows repeat) get a higher
+    bound, up to all rows, so the result is that of ranking everything.
     """
-    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col))
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("long")).alias("h"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text"))
-    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= SAMPLE_DOCS)
-    top = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()]
-    texts: dict[str, dict[str, None]] = {lang: {} for lang in top}
-    for r in first.where(F.col("lang").isin(top)).orderBy("lang", "r").collect() if top else []:
-        texts[r["lang"]][r["text"]] = None
-    content = {lang: b"".join(map(letters, own))[:DICTIONARY_BYTES] for lang, own in texts.items()}
-    return LanguageModel({lang: c for lang, c in content.items() if c.strip()})
+    wanted, bounds, parts = docs, {r["lang"]: 4 * docs / r["count"] for r in rows.groupBy("lang").count().collect()}, []
+    spark = rows.sparkSession
+    while bounds:
+        limits = [(lang, int(max(-1.0, min(1.0, 2 * part - 1)) * (1 << 63)) if part < 1 else (1 << 63) - 1) for lang, part in sorted(bounds.items())]
+        bounded = rows.join(spark.createDataFrame(limits, "lang string, bound long"), "lang").where("h <= bound")
+        if chars:
+            bounded = bounded.withColumn("text", _spread(F.col("text"), chars))
+        # rows that repeat become one before they are dealt by language
+        distinct = bounded.groupBy("lang", "h").agg(F.min("text").alias("text"))
+        first = checkpointed(distinct.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= wanted).drop("r"))
+        found = {r["lang"]: r["count"] for r in first.groupBy("lang").count().collect()}
+        short = {lang for lang, part in bounds.items() if part < 1 and found.get(lang, 0) < wanted}
+        parts.append(first.where(~F.col("lang").isin(sorted(short))) if short else first)
+        bounds = {lang: 16 * bounds[lang] for lang in short}
+    return reduce(DataFrame.unionByName, parts) if parts else rows.limit(0)
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int | None = SAMPLE_CHARS, dictionary_bytes: int | None = None) -> LanguageModel:
+    """Learns every language of the documents that are not held out and whose text and language are not null.
+
+    The sample is a bounded number of labelled rows: of each language the `sample_docs` documents that come first by
+    a hash of id and text, repeated rows once. Each gives `sample_chars` letters from all over its text, or, if None, its
+    whole text; together, without repeats, they fill a dictionary up to `dictionary_bytes` (None: DICTIONARY_BYTES). The dictionaries
+    are made by the executors, and only they reach the driver. The rows that are shuffled for them are
+    about 4 `sample_docs` a language, however many rows and partitions there are.
+    """
+    ident, text, lang = (F.col(quoted(c)) for c in (id_col, text_col, lang_col))
+    kept = docs.where(text.isNotNull() & lang.isNotNull() & ~held_out(id_col))
+    rows = kept.select(lang.cast("string").alias("lang"), F.xxhash64(ident.cast("long"), text).alias("h"), text.alias("text"))
+    importable(docs.sparkSession)
+    most = dictionary_bytes or DICTIONARY_BYTES
+
+    def fill(table: pa.Table) -> pa.Table:
+        texts = dict.fromkeys(table.sort_by("h").column("text").to_pylist())
+        content, size = [], 0
+        for own in texts:
+            content.append(letters(own))
+            size += len(content[-1])
+            if size >= most:
+                break
+        return pa.table({"lang": table.column("lang")[:1], "content": pa.array([b"".join(content)[:most]], pa.binary())})
+
+    made = _sample(rows, sample_docs, sample_chars).groupBy("lang").applyInArrow(fill, "lang string, content binary").collect()
+    return LanguageModel({r["lang"]: bytes(r["content"]) for r in made if r["content"].strip()})
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

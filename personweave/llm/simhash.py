@@ -35,7 +35,7 @@ from .components import component_roots
 SEED, SHINGLE, RADIUS = 42, 4, 4
 #: Members of a cell that one task compares with each other; larger cells are split into blocks.
 CELL_MEMBERS = 16_384
-#: Fingerprints up to which z = 1 and z = 2 grids are used.
+#: Fingerprints up to which z = 1 and z = 2 grids are used at radius RADIUS.
 GRIDS = (4 << 20, 1 << 30)
 
 #: Keys that may be broadcast: fewer than so many can hold more than that part of all rows.
@@ -170,7 +170,8 @@ def _cells(radius: int) -> Callable:
 
 def links(classes: DataFrame, n: int, radius: int = RADIUS, cell_members: int = CELL_MEMBERS) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp), enough to connect what is linked. n: their number."""
-    z = 1 + sum(n > most for most in GRIDS)
+    # cells of two-bit segments agree by chance with 3/8 a segment, so a larger radius needs more grids earlier
+    z = 1 + sum(n > most * (8 / 3) ** (32 * k / (radius + k) - 32 * k / (RADIUS + k)) for k, most in enumerate(GRIDS, 1))
     fp = F.col("fp")
     low = F.lit(0x5555555555555555).cast("long")
     high = F.shiftrightunsigned(fp, 1)

@@ -1,7 +1,9 @@
+import random
 import zlib
 
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from personweave.llm import language_id
 
@@ -60,3 +62,35 @@ def test_edges(spark, docs, trained):
     none = language_id.train(docs([(1, None), (2, "text", None)]))
     assert language_id.identify(df, none).where("lang_pred <> 'und'").count() == 0
     assert language_id.identify(df.limit(0), model).count() == 0
+
+
+def test_sample_is_that_of_ranking_everything(spark, docs):
+    rng = random.Random(1)
+    # a language of many rows, one of few, one of which one row fills nearly all
+    rows = [(i, f"text {rng.random()}", "aa") for i in range(4000)] + [(i, f"few {i}", "bb") for i in range(5)] + [(1, "same", "cc")] * 3000 + [(i, f"other {i}", "cc") for i in range(40)]
+    own = docs(rows).select(F.col("lang"), F.xxhash64("doc_id", "text").alias("h"), "text")
+    found = {(r["lang"], r["text"]) for r in language_id._sample(own, 20, None).collect()}
+    expected = set()
+    for lang in ("aa", "bb", "cc"):
+        expected |= {(lang, t) for _, t in sorted({(r["h"], r["text"]) for r in own.where(F.col("lang") == lang).collect()})[:20]}
+    assert found == expected
+    assert language_id._sample(own.limit(0), 20, None).count() == 0
+
+
+def test_rows_shuffled_for_the_sample_do_not_grow_with_partitions(spark, docs):
+    rows = docs([(i, f"text {i}", "en") for i in range(6000)]).select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
+    bound = lambda n: rows.repartition(n).where(F.col("h") <= int((2 * 4 * 20 / 6000 - 1) * (1 << 63))).count()
+    assert bound(2) == bound(64) < 200
+    assert {r["text"] for r in language_id._sample(rows.repartition(64), 20, None).collect()} == {r["text"] for r in language_id._sample(rows.repartition(2), 20, None).collect()}
+
+
+def test_pieces_come_from_the_whole_text(spark, docs):
+    text = "".join(f"{k:05d}" for k in range(4000))
+    got = docs([(1, text), (2, "short"), (3, "")]).select("doc_id", language_id._spread(F.col("text"), 800).alias("t")).collect()
+    by = {r["doc_id"]: r["t"] for r in got}
+    pieces = by[1].split(" ")
+    assert len(pieces) == 8 and all(len(p) == 100 and p in text for p in pieces) and text.startswith(pieces[0]) and text.endswith(pieces[-1])
+    assert by[2] == "short" and by[3] == ""
+    words = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}" for k in range(4000))
+    train = lambda chars: language_id.train(docs([(i, f"{words} {i}", "en") for i in range(1, 4)]), sample_chars=chars, dictionary_bytes=1 << 20).dictionaries["en"]
+    assert len(train(None)) > 3 * 20_000 and len(train(800)) < 3 * 1000
