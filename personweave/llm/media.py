@@ -211,9 +211,13 @@ def parse(data: bytes) -> Frame:
                 body = body[17 + sum(bits) :]
         elif marker == 0xC0:
             depth, frame.height, frame.width, n = struct.unpack_from(">BHHB", body)
+            frame.components = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n)]
             if depth != 8:
                 raise ValueError("not 8 bits a sample")
-            frame.components = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n)]
+            if not frame.width or not frame.height or not 1 <= n <= 4:
+                raise ValueError("a frame without samples")
+            if any(not 1 <= c[k] <= 4 for c in frame.components for k in (1, 2)) or len(frame.blocks()) > 10:
+                raise ValueError("sampling factors out of range")
         elif 0xC1 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
             raise ValueError("not a baseline frame")
         elif marker == 0xDD:
@@ -225,6 +229,10 @@ def parse(data: bytes) -> Frame:
             frame.scan = [by_id[c[0]] for c in frame.components]
             end = data.rfind(b"\xff\xd9")
             frame.data = data[at : end if end >= at else len(data)]
+            across, down = frame.mcus()
+            # a block takes two bits or more, so what a frame declares is bounded by its data
+            if across * down * len(frame.blocks()) > 4 * len(frame.data):
+                raise ValueError("the scan is too short for its frame")
             return frame
     raise ValueError("no scan")
 
@@ -258,6 +266,8 @@ def _decode_segments(segments: list[bytes], mcus: np.ndarray, blocks: list[int],
 
     for m in range(most):
         alive = np.flatnonzero(mcus > m)
+        if (np.abs(pred) > 32767).any():
+            raise ValueError("DC terms out of range")
         for b, component in enumerate(blocks):
             dc, ac = scan[component]
             base = (m * len(blocks) + b) * 64
@@ -301,22 +311,25 @@ def decode(files: list[bytes]) -> list[tuple[Frame, np.ndarray]]:
             each = f.interval or total
             if len(own) != -(-total // each):
                 raise ValueError("restart markers are missing")
-            spans.append((k, len(segments), len(own), total))
+            spans.append((k, len(segments), len(own)))
             segments += own
             mcus += [each] * (len(own) - 1) + [total - each * (len(own) - 1)]
         counts, parts, at = np.array(mcus), [], 0
         while at < len(segments):
-            to = at + max(1, CHUNK // int(counts[at]))
+            # as many segments as hold CHUNK MCUs, each as long as the longest of them
+            most = np.maximum.accumulate(counts[at : at + CHUNK])
+            to = at + max(1, int(np.count_nonzero(most * np.arange(1, len(most) + 1) <= CHUNK)))
             parts.append(_decode_segments(segments[at:to], counts[at:to], list(blocks), list(scan), lookups))
             at = to
-        for k, first, n, total in spans:
+        for k, first, n in spans:
             got, seen = [], 0
             for p in parts:
                 a, b = max(first - seen, 0), min(first + n - seen, len(p))
                 if a < b:
-                    got.append(p[a:b].reshape(-1, len(blocks), 64))
+                    # what segments hold of the MCUs of the longest one beside them
+                    got.append(p[a:b][np.arange(p.shape[1]) < counts[seen + a : seen + b, None]])
                 seen += len(p)
-            out[k] = (frames[k], np.concatenate(got)[:total] if len(got) > 1 else got[0][:total])
+            out[k] = (frames[k], np.concatenate(got) if len(got) > 1 else got[0])
     return out
 
 
@@ -330,12 +343,14 @@ def _cut(data: bytes) -> list[bytes]:
 
 
 def thumbnail(frame: Frame, coefficients: np.ndarray) -> np.ndarray:
-    """Luminance from DC terms alone: one 8-bit pixel for each block of the first component."""
+    """Luminance from DC terms alone: one 8-bit pixel for each block of the first component that shows the image."""
     across, down = frame.mcus()
     first = frame.components[0]
     h, v = (first[1], first[2]) if len(frame.components) > 1 else (1, 1)
     dc = coefficients[:, : h * v, 0].astype(np.int64) * frame.quant[first[3]][0]
     grid = dc.reshape(down, across, v, h).transpose(0, 2, 1, 3).reshape(down * v, across * h)
+    most = [max(c[k] for c in frame.components) if len(frame.components) > 1 else 1 for k in (1, 2)]
+    grid = grid[: -(-frame.height * v // (8 * most[1])), : -(-frame.width * h // (8 * most[0]))]
     return np.clip(np.floor_divide(grid + 4, 8) + 128, 0, 255).astype(np.uint8)
 
 
@@ -377,15 +392,20 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def media_columns(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """(doc_id, width, height, thumb binary, thumb_hash) of JPEG files; all null for null or unreadable ones."""
+    """(doc_id, width, height, thumb binary, thumb_hash): one row for each row.
+
+    The rest is null for null, empty and unreadable files: what is no baseline JPEG with one interleaved
+    scan, is cut off, or declares more blocks than its bytes can hold. Repeated rows stay, equal in all
+    columns, and so do null ids. An empty table gives an empty one. Other columns are not read.
+    """
 
     def make() -> Callable:
         def one(data: bytes | None) -> tuple:
             try:
                 frame, coefficients = decode([data or b""])[0]
+                pixels = thumbnail(frame, coefficients)
             except (ValueError, KeyError, IndexError, struct.error):
                 return None, None, None, None
-            pixels = thumbnail(frame, coefficients)
             return frame.width, frame.height, pixels.tobytes(), thumbnail_hash(pixels)
 
         return lambda ids, files: [ids, *map(list, zip(*map(one, files), strict=True))] if ids else [[]] * 5
