@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .batches import importable
 
 SCALE = 1024
+#: The largest number of 64 bits that a double holds.
+MOST = float(2**63 - 1024)
 #: Vectors in a block: of queries, of candidates.
 QUERY_BLOCK, CANDIDATE_BLOCK = 512, 4096
 
@@ -32,7 +34,7 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     """Integer rows of the vectors; shorter vectors lack the last terms (zeros)."""
     column = batch.column("embedding")
     lengths = np.diff(column.offsets.to_numpy())
-    flat = np.floor(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * SCALE).astype(np.int64)
+    flat = np.floor(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * SCALE).clip(-MOST, MOST).astype(np.int64)
     width = int(lengths.max(initial=0))
     if (lengths == width).all():
         return flat.reshape(len(lengths), width)
@@ -109,8 +111,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
     """(query_id, rank, vec_id, score): each query's k highest integer inner products.
 
     Queries are the rows whose id is divisible by `every`, candidates all rows but those with the
-    query's own id. A component x counts as floor(1024 x); scores are exact while they fit 64 bits.
-    Ties go to the smaller id; rows that repeat an id are candidates each, and a query id that repeats
+    query's own id. A component x counts as floor(1024 x), at most MOST either way; scores are
+    exact while they fit 64 bits, and beyond that what is left of them modulo 2^64, as a signed number. Ties go to the smaller id; rows that repeat an id are candidates each, and a query id that repeats
     is asked once, by the smallest of its vectors. Null vectors, null ids and vectors with a null or non-finite component take no
     part; a vector that is shorter lacks the last terms. Fewer candidates give fewer rows, an empty
     table none. Other columns are not read.

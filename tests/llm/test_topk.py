@@ -50,3 +50,13 @@ def test_few_and_none(spark):
     assert run(spark, [(0, [1.0], 0)]) == []
     empty = spark.createDataFrame([], SCHEMA).selectExpr("*", "1 AS query_id", "2 AS ids")
     assert topk.top_k(empty).count() == 0
+
+
+def test_components_beyond_64_bits(spark):
+    rows = [(0, [1e300, 0.0]), (1, [1.0, 0.0]), (2, [-1e300, 1.0]), (100, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    cells = {k: [max(-(2**63 - 1024), min(2**63 - 1024, int(x * 1024 // 1))) for x in v] for k, v in rows}
+    wrap = lambda x: (x + 2**63) % 2**64 - 2**63
+    score = lambda a, b: wrap(sum(x * y for x, y in zip(cells[a], cells[b], strict=True)))
+    found = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.top_k(df).collect()}
+    assert found == {(q, v): score(q, v) for q in (0, 100) for v in (0, 1, 2, 100) if v != q}
