@@ -40,6 +40,12 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 _SCRATCH: list[str] = []
 
 
@@ -94,6 +100,13 @@ def slices(batch: pa.RecordBatch, column: str | int, limit: int = SLICE_BYTES, r
         at = to
 
 
+def map_rows(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterable[pa.RecordBatch]]) -> DataFrame:
+    """One narrow pass over whole rows that keeps the columns, whatever their names: `run` sees them by place."""
+    importable(df.sparkSession)
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def map_texts(
     df: DataFrame,
     make: Callable[[], Callable[[list, list], list]],

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import checkpointed, importable, map_texts, quoted, slices
+from .batches import checkpointed, importable, map_rows, map_texts, quoted, slices
 
 #: Bounds of the sample: documents a language, letters of each, bytes of a dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 200, 4096, 131_072
@@ -172,8 +172,10 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """The documents whose language is accepted; all columns stay."""
-    importable(docs.sparkSession)
+    """The documents whose language is accepted; all columns stay, whatever their names.
+
+    Null text, text without letters and any text of an empty model go. Rows that repeat stay or go together.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,4 +184,4 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text
                 found = [model.classify(t) for t in part.column(at).to_pylist()]
                 yield part.filter(pa.array([lang != "und" and margin >= NARROW for lang, margin in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .batches import importable, map_texts, slices
+from .batches import map_rows, map_texts, slices
 
 #: Kinds of the base patterns, in the order of their listing, then those that linking adds.
 KINDS = ("assign", "access", "hex", "linked_key", "linked_endpoint")
@@ -150,9 +150,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The documents, every span in their text replaced by the mark; all rows and columns stay.
 
-    Null text stays null.
+    Null text stays null. Rows that repeat are redacted alike, and an empty table stays empty.
     """
-    importable(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -161,4 +160,4 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET
                 texts = pa.array([redact(t, mark) for t in part.column(at).to_pylist()], part.column(at).type)
                 yield part.set_column(at, part.schema.field(at), texts)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
