@@ -1,8 +1,9 @@
 """Merging the records of each entity.
 
-All families start from records partitioned by entity_key, so that the group-bys on (entity, key) and
-on (entity) reuse that partitioning: one exchange for the input. Lists keep the first item seen of each
-key, scalars the last; all contributions stay as provenance, in source order.
+merge() reads every record once: it becomes one entry for each value, of whatever family, and the group-bys on
+(entity, family, key) and on (entity) share one exchange by entity_key. merge_list, merge_scalars and
+merge_locations are the same for one family alone, of which only the columns are read. Lists keep the
+first item seen of each key, scalars the last; all contributions stay as provenance, in source order.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.contact import clean_url
 from ..functions.ids import uuid5
 from ..functions.profile import location_display
-from ..functions.text import key_of
+from ..functions.text import key_of, let
+from ..schemas import EXTRACTED
 
 STRUCTURED = ("csv", "ats_json", "linkedin")
 
@@ -25,11 +27,11 @@ def method_of(source_type: Column) -> Column:
     return F.when(source_type.isin(*STRUCTURED), "structured_field").when(source_type == "github", "api_response").when(source_type == "manual", "manual").otherwise("nlp_heuristic")
 
 
-def provenance(field: str, raw: Column, method: Column | None = None) -> Column:
+def provenance(field: str, raw: Column, method: Column | None = None, item_ord: Column | None = None) -> Column:
     """One contribution of the current row's source."""
     return F.struct(
         F.col("src_ord").alias("src_ord"),
-        F.col("item_ord").alias("item_ord"),
+        (F.col("item_ord") if item_ord is None else item_ord).alias("item_ord"),
         F.col("source_type"),
         F.col("source_id"),
         (method_of(F.col("source_type")) if method is None else method).alias("method"),
@@ -62,8 +64,12 @@ SCALARS = ("first_name", "middle_name", "last_name", "summary")
 
 
 def spread(records: DataFrame) -> DataFrame:
-    """The records partitioned by entity, which all families then share."""
-    return records.repartition("entity_key")
+    """The records partitioned by entity, which all families then share.
+
+    By number, since adaptive execution would put raw rows together by their size, while each costs far
+    more to parse and normalise than to move.
+    """
+    return records.repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), "entity_key")
 
 
 def merge_list(records: DataFrame, family: str) -> DataFrame:
@@ -115,32 +121,89 @@ def _listed(rows: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("entity_key").agg(items.alias(name))
 
 
-def _options(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    options = [F.sort_array(F.collect_list(F.when(F.col("field") == n, F.struct("item_key", "value", "provenance")))).alias(n) for n in names]
-    return rows.groupBy("entity_key").agg(*options)
+#: Fields of a merged entity, and the types of their values.
+FIELDS = (*SCALARS, "location", *FAMILIES)
+_TYPES = {f: "string" for f in SCALARS} | {f: EXTRACTED[f].removeprefix("array<")[: -1 if EXTRACTED[f].startswith("array<") else None] for f in ("location", *FAMILIES)}
+
 
+def _entries(fields: tuple[str, ...]) -> Column:
+    """All values of a record as one list of (family, item_key, ord, x, p), x holding the value in the family's field.
 
-def merge(records: DataFrame, co_partition: bool = True) -> DataFrame:
+    The smallest ord of a key shows: the first of a list's items, the last of a scalar's sources. What is
+    blank is a null entry. Three more families, one entry each, carry what candidate_id and merged_from need.
+    """
+    src = F.col("src_ord").cast("bigint")
+
+    def entry(family: str, key: Column, order: Column, at: Column, p: Column, value: Column | None = None) -> Column:
+        x = F.struct(*[(value if n == family else F.lit(None)).cast(_TYPES[n]).alias(n) for n in fields])
+        return F.struct(F.lit(family).alias("family"), key.alias("item_key"), F.struct(order.alias("src"), at.cast("int").alias("at")).alias("ord"), x.alias("x"), p.alias("p"))
+
+    def listed(family: str) -> Column:
+        key, raw = FAMILIES[family]
+
+        def one(item: Column, i: Column) -> Column:
+            method = F.when(F.coalesce(item["is_inferred"], F.lit(False)), "inferred").otherwise(method_of(F.col("source_type"))) if family == "skills" else None
+            return let(key(item), lambda k: F.when(F.coalesce(k, F.lit("")) != "", entry(family, k, src, i, provenance(family, raw(item), method, i.cast("int")), item)))
+
+        return F.transform(F.col(family), one)
+
+    zero = F.lit(0)
+    own = [entry("__source", F.lit(""), src, zero, provenance("", F.lit(None).cast("string"), item_ord=zero))]
+    if "emails" in fields:
+        own.append(F.when(F.size("emails") > 0, entry("__email", F.lit(""), src, zero, provenance("", F.get(F.col("emails"), 0)["address"], item_ord=zero))))
+    if "profiles" in fields:
+        own.append(F.when(F.size("profiles") > 0, entry("__url", F.lit(""), src, zero, provenance("", F.get(F.col("profiles"), 0)["url"], item_ord=zero))))
+    for n in SCALARS:
+        if n in fields:
+            own.append(F.when(F.coalesce(F.col(n), F.lit("")) != "", entry(n, key_of(F.col(n)), -src, zero, provenance(n, F.col(n), item_ord=zero), F.col(n))))
+    parts = [F.array(*own)]
+    if "location" in fields:
+        shown = F.struct(location_display(F.col("location")).alias("shown"))
+        keyed = lambda x: F.struct(x["shown"].alias("shown"), key_of(x["shown"]).alias("key"))
+        placed = lambda x: F.array(F.when(F.coalesce(x["key"], F.lit("")) != "", entry("location", x["key"], -src, zero, provenance("location", x["shown"], item_ord=zero), F.col("location"))))
+        parts.append(let(shown, lambda x: let(keyed(x), placed)))
+    parts += [F.coalesce(listed(f), F.array()) for f in FAMILIES if f in fields]
+    return F.concat(*parts)
+
+
+def merge(records: DataFrame, co_partition: bool = True, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """One row for each entity: candidate_id, merged_from, and each field as the list of its distinct values.
 
     Lists hold structs (item_key, item, provenance), scalars and location (item_key, value, provenance),
-    sorted by key; resolve() picks the scalars' winners.
+    sorted by key; resolve() picks the scalars' winners. fields: those that are merged; without emails or
+    profiles candidate_id falls back on what is left.
 
-    co_partition deals the records by entity first, which saves an exchange a family. Without it the
-    group-bys combine before they shuffle and deal by (entity, key): for few entities with very many
+    co_partition deals the records by entity first, after which no group-by needs an exchange. Without it
+    the group-by on (entity, family, key) combines before it shuffles: for few entities with very many
     records each.
     """
     own = spread(records) if co_partition else records
-    out = candidate_ids(own)
-    parts = [_options(merge_scalars(own), SCALARS), _options(merge_locations(own), ("location",)), *[_listed(merge_list(own, f), f) for f in FAMILIES]]
-    for part in parts:
-        out = out.join(part, "entity_key", "left")
-    names = [*SCALARS, "location", *FAMILIES]
-    return out.select("entity_key", "candidate_id", "merged_from", *[F.coalesce(F.col(n), F.array()).alias(n) for n in names])
+    # outer, since for an inner one the planner adds a filter on the list, which then is made twice
+    rows = own.select("entity_key", F.explode_outer(_entries(fields)).alias("e")).where("e IS NOT NULL").select("entity_key", "e.*")
+    more = [F.max("x.skills.github_occurrence_count").alias("n")] if "skills" in fields else []
+    keyed = rows.groupBy("entity_key", "family", "item_key").agg(F.min_by("x", "ord").alias("x"), F.sort_array(F.collect_list("p")).alias("provenance"), *more)
+    of = lambda family, c: F.collect_list(F.when(F.col("family") == family, c))
+
+    def merged(n: str) -> Column:
+        value = F.col("x")[n]
+        if n == "skills":
+            value = value.withField("github_occurrence_count", F.coalesce("n", F.lit(1)).cast("bigint"))
+        return F.sort_array(of(n, F.struct("item_key", value.alias("item" if n in FAMILIES else "value"), "provenance"))).alias(n)
+
+    out = keyed.groupBy("entity_key").agg(*[merged(n) for n in fields], *[F.flatten(of(f, F.col("provenance"))).alias(f) for f in ("__source", "__email", "__url")])
+    first = lambda f: F.get(F.col(f), 0)["raw_value"]
+    ids = F.array_join(F.sort_array(F.transform("__source", lambda x: x["source_id"])), "|")
+    sources = F.sort_array(F.transform("__source", lambda x: F.struct(x["src_ord"], x["source_id"])))
+    return out.select(
+        "entity_key",
+        uuid5(F.coalesce(first("__email"), first("__url"), ids)).alias("candidate_id"),
+        F.transform(sources, lambda x: x["source_id"]).alias("merged_from"),
+        *fields,
+    )
 
 
 def flat_provenance(canonical: DataFrame, fields: tuple[str, ...] | None = None) -> Column:
     """A map from each field that has any to its contributions."""
-    names = fields or (*SCALARS, "location", *FAMILIES)
+    names = fields or FIELDS
     entries = [F.struct(F.lit(n).alias("key"), F.flatten(F.transform(F.col(n), lambda x: x["provenance"])).alias("value")) for n in names]
     return F.map_filter(F.map_from_entries(F.array(*entries)), lambda k, v: F.size(v) > 0)

@@ -39,14 +39,15 @@ def resolve_field(options: Column, shown: Callable[[Column], Column] = lambda v:
 
 
 def order_roles(items: Column) -> Column:
-    """Undated roles first, then the newest; ties by company and title, descending."""
+    """Undated roles first, then the newest; ties by company and title in lower case, descending, then in the list's order."""
     keyed = F.transform(
         items,
-        lambda x: F.struct(
+        lambda x, i: F.struct(
             x["item"]["start_date"].isNull().alias("undated"),
             F.coalesce(x["item"]["start_date"].cast("string"), x["item"]["raw_start"], F.lit("")).alias("start"),
-            F.coalesce(x["item"]["company"], F.lit("")).alias("company"),
-            F.coalesce(x["item"]["title"], F.lit("")).alias("title"),
+            F.lower(F.coalesce(x["item"]["company"], F.lit(""))).alias("company"),
+            F.lower(F.coalesce(x["item"]["title"], F.lit(""))).alias("title"),
+            (-i).alias("place"),
             x.alias("x"),
         ),
     )
@@ -54,8 +55,8 @@ def order_roles(items: Column) -> Column:
 
 
 def resolve(merged: DataFrame) -> DataFrame:
-    """Merged entities with one value a scalar, its conflicts kept, and roles in order."""
+    """Merged entities with one value a scalar, its conflicts kept, and roles in order, of the fields that were merged."""
     out = {n: resolve_field(F.col(n)) for n in SCALARS}
     out["location"] = resolve_field(F.col("location"), location_display)
     out["experience"] = order_roles(F.col("experience"))
-    return merged.withColumns(out)
+    return merged.withColumns({n: c for n, c in out.items() if n in merged.columns})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import contact, dates, profile, text
 from ..functions.ids import uuid5
 from ..operators import lineage, merge, normalize, resolve, score
-from ..schemas import EDUCATION, SKILLS, extracted, record
+from ..schemas import EDUCATION, ROLES, SKILLS, extracted, record
 from ..sources import csv
 from .pipeline import fuse
 from .views import Catalog, frame, sql_e164, sql_is_email, sql_skill, sql_split, sql_title_words
@@ -19,8 +19,8 @@ AS_OF = "2024-01-01"
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extracted records of the three sources; a repository host's skills are inferred."""
-    df = frame(spark, sf_dir, "v_rec")
+    """Extracted records of the three sources, dealt by entity while they are raw; a repository host's skills are inferred."""
+    df = merge.spread(frame(spark, sf_dir, "v_rec"))
     cells = {c: text.blank_to_null(F.col(n)) for c, n in (("full_name", "full_name"), ("first_name", "first_name"), ("last_name", "last_name"), ("email", "email"), ("phone", "phone"), ("skills", "skills"), ("location", "location"), ("current_company", "company"), ("current_title", "title"), ("summary", "summary"), ("github_url", "url"))}
     made = csv.fields(cells)
     host = F.col("source_type") == "github"
@@ -180,18 +180,18 @@ def crm_populate_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add(BASE + "SELECT entity_key, field, item_key, value, sources FROM opt WHERE field <> 'location'")
 def merge_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.merge_scalars(merge.spread(normalized(spark, sf_dir))).select("entity_key", "field", "item_key", "value", _sources(F.col("provenance")).alias("sources"))
+    return merge.merge_scalars(normalized(spark, sf_dir)).select("entity_key", "field", "item_key", "value", _sources(F.col("provenance")).alias("sources"))
 
 
 @add(BASE + "SELECT entity_key, item_key, value AS shown, sources FROM opt WHERE field = 'location'")
 def merge_location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = merge.merge_locations(merge.spread(normalized(spark, sf_dir)))
+    out = merge.merge_locations(normalized(spark, sf_dir))
     return out.select("entity_key", "item_key", profile.location_display(F.col("value")).alias("shown"), _sources(F.col("provenance")).alias("sources"))
 
 
 def _family(name: str, shown: str, more: str = "") -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = merge.merge_list(merge.spread(normalized(spark, sf_dir)), name)
+        out = merge.merge_list(normalized(spark, sf_dir), name)
         extra = [F.col("item.github_occurrence_count").alias("evidence")] if more else []
         return out.select("entity_key", "item_key", F.col(f"item.{shown}").alias("item"), _sources(F.col("provenance")).alias("sources"), *extra)
 
@@ -206,6 +206,19 @@ _family("experience", "company")
 _family("profiles", "url")
 
 
+@add("""
+WITH p AS (SELECT p_brand AS entity_key, p_partkey, concat('Tool ', (p_size % 4)::VARCHAR) AS title, CASE WHEN p_size % 3 = 0 THEN NULL ELSE concat('20', lpad((p_size % 30)::VARCHAR, 2, '0')) END AS raw FROM part)
+SELECT entity_key, concat('personal project|', lower(title), '|', coalesce(raw, 'none')) AS item_key, arg_min(CASE WHEN p_partkey % 2 = 0 THEN upper(title) ELSE title END, p_partkey) AS title, count(*)::BIGINT AS n FROM p GROUP BY entity_key, title, raw""")
+def merge_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = frame(spark, sf_dir, "part")
+    title = F.concat(F.lit("Tool  "), (F.col("p_size") % 4).cast("string"))
+    raw = F.when(F.col("p_size") % 3 != 0, F.concat(F.lit("20"), F.lpad((F.col("p_size") % 30).cast("string"), 2, "0")))
+    item = record(ROLES, company=F.lit("Personal Project"), title=F.when(F.col("p_partkey") % 2 == 0, F.upper(title)).otherwise(title), raw_start=raw)
+    rows = extracted(df, entity_key=F.col("p_brand"), src_ord=F.col("p_partkey"), source_type=F.lit("csv"), source_id=F.col("p_name"), projects=F.array(item))
+    out = merge.merge_list(merge.spread(rows), "projects")
+    return out.select("entity_key", "item_key", text.collapse_ws(F.col("item.title")).alias("title"), F.size("provenance").cast("bigint").alias("n"))
+
+
 @add("""
 SELECT s_nationkey::VARCHAR AS entity_key, lower(concat('uni ', (s_suppkey % 3)::VARCHAR, '|bsc ', (s_suppkey % 2)::VARCHAR, '|')) AS item_key, concat('Uni ', (min(s_suppkey) % 3)::VARCHAR) AS institution, count(*)::BIGINT AS n
 FROM supplier GROUP BY s_nationkey, s_suppkey % 3, s_suppkey % 2""")
@@ -236,7 +249,7 @@ def candidate_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 o AS (SELECT entity_key, string_agg(source_id, '|' ORDER BY src_ord) AS merged_from FROM n GROUP BY entity_key)
 SELECT f.entity_key, {_sql_uuid("coalesce(mail, url)")} AS candidate_id, merged_from FROM f JOIN o ON f.entity_key = o.entity_key""")
 def merged_from_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = merge.candidate_ids(merge.spread(normalized(spark, sf_dir)))
+    out = merge.candidate_ids(normalized(spark, sf_dir))
     return out.select("entity_key", "candidate_id", _join("merged_from").alias("merged_from"))
 
 
@@ -244,7 +257,7 @@ def merged_from_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 , p AS (SELECT entity_key, field, len(string_split(sources, '|')) AS n FROM opt UNION ALL SELECT entity_key, family, len(string_split(sources, '|')) FROM mi)
 SELECT entity_key, field, sum(n)::BIGINT AS n FROM p GROUP BY entity_key, field""")
 def provenance_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = merge.merge(normalized(spark, sf_dir))
+    out = merge.merge(normalized(spark, sf_dir), co_partition=False)
     return out.select("entity_key", F.explode(merge.flat_provenance(out)).alias("field", "p")).select("entity_key", "field", F.size("p").cast("bigint").alias("n"))
 
 
@@ -263,27 +276,30 @@ def lineage_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add(BASE + "SELECT entity_key, field, value, n_conflicts::BIGINT AS n_conflicts FROM res")
 def resolve_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = resolve.resolve(merge.merge(normalized(spark, sf_dir)))
     names = (*merge.SCALARS, "location")
+    out = resolve.resolve(merge.merge(normalized(spark, sf_dir), co_partition=False, fields=names))
     shown = {n: profile.location_display(F.col("location")["value"]) if n == "location" else F.col(n)["value"] for n in names}
     each = F.array(*[F.struct(F.lit(n).alias("field"), F.when(F.col(n).isNotNull(), shown[n]).alias("value"), F.size(F.col(n)["conflicts"]).cast("bigint").alias("n_conflicts")) for n in names])
     return out.select("entity_key", F.explode(each).alias("x")).select("entity_key", "x.*").where("value IS NOT NULL")
 
 
-@add("""
-SELECT o_custkey AS k, string_agg(concat(CASE WHEN o_orderkey % 5 = 0 THEN 'undated' ELSE strftime(o_orderdate, '%Y-%m-%d') END, '/', o_orderkey::VARCHAR), '|'
-  ORDER BY (o_orderkey % 5 = 0) DESC, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END DESC, o_orderkey::VARCHAR DESC) AS roles FROM orders GROUP BY o_custkey""")
+_ROLES = """SELECT o_custkey AS k, o_orderkey AS n, CASE WHEN o_orderkey % 5 <> 0 THEN cast(o_orderdate as date) END AS start,
+  concat(CASE o_orderkey % 3 WHEN 0 THEN 'ACME ' WHEN 1 THEN 'acme ' ELSE 'Beta ' END, cast(o_orderkey % 7 as string)) AS company, CASE WHEN o_orderkey % 2 = 0 THEN 'LEAD' ELSE 'clerk' END AS title FROM {orders}"""
+
+
+@add(f"""
+WITH r AS ({_ROLES.replace("{orders}", "orders")})
+SELECT k, string_agg(concat_ws('/', coalesce(start::VARCHAR, 'undated'), company, title), '|' ORDER BY start IS NULL DESC, start DESC, lower(company) DESC, lower(title) DESC, n) AS roles FROM r GROUP BY k""")
 def order_experience(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = frame(spark, sf_dir, "orders")
-    start = F.when(F.col("o_orderkey") % 5 != 0, F.to_date("o_orderdate"))
-    item = F.struct(start.alias("start_date"), F.lit(None).cast("string").alias("raw_start"), F.col("o_orderkey").cast("string").alias("company"), F.lit("t").alias("title"))
-    grouped = df.groupBy(F.col("o_custkey").alias("k")).agg(F.collect_list(F.struct(item.alias("item"))).alias("roles"))
-    shown = F.transform(resolve.order_roles(F.col("roles")), lambda x: F.concat_ws("/", F.coalesce(x["item"]["start_date"].cast("string"), F.lit("undated")), x["item"]["company"]))
+    df = frame(spark, sf_dir, _ROLES)
+    item = F.struct(F.col("start").alias("start_date"), F.lit(None).cast("string").alias("raw_start"), "company", "title")
+    grouped = df.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("n", item.alias("item")))).alias("roles"))
+    shown = F.transform(resolve.order_roles(F.col("roles")), lambda x: F.concat_ws("/", F.coalesce(x["item"]["start_date"].cast("string"), F.lit("undated")), x["item"]["company"], x["item"]["title"]))
     return grouped.select("k", _join(shown).alias("roles"))
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuse([records(spark, sf_dir)], AS_OF)
+    return fuse([records(spark, sf_dir)], AS_OF, co_partition=False)
 
 
 @add(BASE + "SELECT entity_key, family, item_key, c::DOUBLE AS confidence FROM items")
@@ -333,3 +349,7 @@ FROM n LEFT JOIN (SELECT * FROM res WHERE field = 'first_name') a ON a.entity_ke
 def fuse_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _fused(spark, sf_dir)
     return out.select("entity_key", F.col("first_name.value").alias("first_name"), "primary_email", F.size("merged_from").cast("bigint").alias("n_sources"), F.round("overall_confidence", 3).alias("overall"))
+
+
+#: Queries over all fields of the fused entities.
+QUERIES_OF_FUSION = {f.__name__: f for f in (fuse_end_to_end, resolve_conflicts, score_overall, provenance_flat)}

@@ -122,12 +122,58 @@ def test_one_exchange_for_the_input(spark):
     assert full.count("Exchange hashpartitioning") - full.count("ReusedExchange") <= 10
 
 
+def test_fusion_reads_each_source_once(spark):
+    from personweave.plans.queries_fusion import QUERIES_OF_FUSION
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plans = {n: q(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString() for n, q in QUERIES_OF_FUSION.items()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    for name, plan in plans.items():
+        # customer, nation, region, orders and events, each once; one exchange by entity, one each for the group-bys of orders and events
+        assert plan.count("FileScan") == 5, name
+        assert plan.count("Exchange hashpartitioning(entity_key") == 1 and plan.count("Exchange hashpartitioning") <= 3, name
+        assert not any(n in plan for n in ("InArrow", "InPandas", "EvalPython", "SortMergeJoin")), name
+
+
+def test_merge_agrees_with_its_families(spark):
+    """The one-pass form against the forms for one family alone, with blank, null and repeated values."""
+    rows = [
+        one(spark, k, "csv" if k % 2 else "github", f"s{k % 3}", first_name=F.lit(n), summary=F.lit(s), skills=skill(n or "x", bool(k % 2), k), emails=F.array(F.lit(None).cast(EMAILS[6:-1]), record(EMAILS, address=F.lit(f"{n}@x.co")), record(EMAILS, address=F.lit(""))), projects=F.array(record(ROLES, company=F.lit("P"), title=F.lit(n))), location=record(LOCATION, city=F.lit(s)))
+        for k, (n, s) in enumerate((("Ann", "a"), ("ann ", " "), (None, ""), ("BOB", "A"), ("Ann", None), ("Ann", "a")))
+    ]
+    records = rows[0]
+    for r in rows[1:]:
+        records = records.union(r)
+    records = records.union(records.limit(0)).unionByName(records.where("src_ord = 1"))
+    merged = merge.merge(records).first()
+    alone = merge.merge(records, co_partition=False).first()
+    assert merged == alone
+    for family in merge.FAMILIES:
+        listed = [(r["item_key"], r["item"], r["provenance"]) for r in merge.merge_list(records, family).sort("item_key").collect()]
+        assert [(x["item_key"], x["item"], x["provenance"]) for x in merged[family]] == listed
+    places = [(r["item_key"], r["value"], r["provenance"]) for r in merge.merge_locations(records).sort("item_key").collect()]
+    assert [(x["item_key"], x["value"], x["provenance"]) for x in merged["location"]] == places
+    for field in merge.SCALARS:
+        values = [(r["item_key"], r["provenance"]) for r in merge.merge_scalars(records).where(F.col("field") == field).sort("item_key").collect()]
+        assert [(x["item_key"], x["provenance"]) for x in merged[field]] == values
+    ids = merge.candidate_ids(records).first()
+    assert (merged["candidate_id"], merged["merged_from"]) == (ids["candidate_id"], ids["merged_from"])
+    some = merge.merge(records, fields=("first_name", "skills")).first()
+    assert some["first_name"] == merged["first_name"] and some["skills"] == merged["skills"] and "emails" not in some
+
+
 def test_lineage(spark):
     row = spark.range(1).select(lineage.record("f", F.lit("v"), "csv", F.lit("s"), confidence=3.0).alias("r"), lineage.record("f", F.lit(None).cast("string"), "csv", F.lit("s")).alias("n")).first()
     assert row["r"]["confidence"] == 1.0 and row["r"]["raw_value"] == "v" and row["n"] is None
 
 
 def test_roles_in_order(spark):
+    lower = [("Zeta", "t"), ("ACME", "Lead"), ("acme", "lead"), ("Acme", "clerk"), ("beta", "t")]
+    tied = F.array(*[F.struct(record(ROLES, company=F.lit(c), title=F.lit(t)).alias("item")) for c, t in lower])
+    found = spark.range(1).select(F.transform(resolve.order_roles(tied), lambda x: x["item"]["company"]).alias("o")).first()["o"]
+    assert found == ["Zeta", "beta", "ACME", "acme", "Acme"]
     items = [(None, "2020", "a"), (None, None, "b"), ("2021-01-01", None, "c")]
     made = F.array(*[F.struct(record(ROLES, company=F.lit(n), title=F.lit("t"), raw_start=F.lit(r), start_date=F.lit(s).cast("date")).alias("item")) for s, r, n in items])
     out = spark.range(1).select(F.transform(resolve.order_roles(made), lambda x: x["item"]["company"]).alias("o")).first()["o"]
