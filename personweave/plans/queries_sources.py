@@ -335,11 +335,11 @@ def profile_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @add("""
-WITH t AS (SELECT l_orderkey AS k, string_agg(DISTINCT l_returnflag, '|' ORDER BY l_returnflag) AS topics FROM lineitem WHERE l_linenumber > 2 GROUP BY l_orderkey)
+WITH t AS (SELECT l_orderkey AS k, string_agg(DISTINCT l_returnflag, '|' ORDER BY l_returnflag) AS topics FROM lineitem GROUP BY l_orderkey)
 SELECT o_orderkey AS k, coalesce(t.topics, '') AS topics FROM orders LEFT JOIN t ON o_orderkey = t.k""")
 def repo_payload_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     repos = frame(spark, sf_dir, "SELECT o_orderkey AS full_name FROM {orders}")
-    topics = frame(spark, sf_dir, "SELECT l_orderkey AS full_name, sort_array(collect_set(l_returnflag)) AS topics FROM {lineitem} WHERE l_linenumber > 2 GROUP BY l_orderkey")
+    topics = frame(spark, sf_dir, "SELECT l_orderkey AS full_name, sort_array(collect_set(l_returnflag)) AS topics FROM {lineitem} GROUP BY l_orderkey")
     return repo_api.with_payloads(repos, {"topics": topics}).select(F.col("full_name").alias("k"), _join("topics").alias("topics"))
 
 

@@ -78,7 +78,7 @@ UNION ALL
 SELECT {_k("k")}, 1, 'ats_json', concat('ats:', {_k("last_order")}), cast(null as string), concat('cust', chr(cast(97 + k % 26 as int))), CASE WHEN k % 2 = 0 THEN concat('nation', {_k("k % 25")}) ELSE 'Other' END,
   concat('user', {_k("k")}, '@mail', {_k("k % 5")}, '.example.com;ats', {_k("k")}, '@jobs.example.com'), concat('(212) 555-', lpad({_k("k % 10000")}, 4, '0')),
   concat('Python;node_js;sql', {_k("n_orders % 3")}), concat('City ', {_k("k % 50")}, ', CA, US'), concat('Acme ', {_k("k % 20")}, ' Ltd'), 'Engineer 1', 'Ordered before.', concat('https://github.com/user', {_k("k")})
-FROM ({{v_last}}) WHERE k % 3 <> 1
+FROM ({{v_last}})
 UNION ALL
 SELECT {_k("user_id")}, 2, 'github', concat('github:u', {_k("user_id")}), cast(null as string), concat('Cust', chr(cast(97 + user_id % 26 as int))), 'Handle',
   concat('user', {_k("user_id")}, '@mail', {_k("user_id % 5")}, '.example.com'), '', concat('python;', CASE WHEN count(*) > 10 THEN 'Postgres' ELSE 'click' END), '', '', '', concat('Seen ', {_k("count(*)")}, ' times.'), concat('https://github.com/user', {_k("user_id")}, '/')
