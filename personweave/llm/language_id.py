@@ -109,7 +109,8 @@ def _sample(rows: DataFrame, docs: int, chars: int | None) -> DataFrame:
     spark = rows.sparkSession
     while bounds:
         limits = [(lang, int(max(-1.0, min(1.0, 2 * part - 1)) * (1 << 63)) if part < 1 else (1 << 63) - 1) for lang, part in sorted(bounds.items())]
-        bounded = rows.join(spark.createDataFrame(limits, "lang string, bound long"), "lang").where("h <= bound")
+        # one number a language, of which the model itself holds a whole dictionary
+        bounded = rows.join(F.broadcast(spark.createDataFrame(limits, "lang string, bound long")), "lang").where("h <= bound")
         if chars:
             bounded = bounded.withColumn("text", _spread(F.col("text"), chars))
         # rows that repeat become one before they are dealt by language

@@ -77,11 +77,19 @@ def test_sample_is_that_of_ranking_everything(spark, docs):
     assert language_id._sample(own.limit(0), 20, None).count() == 0
 
 
-def test_rows_shuffled_for_the_sample_do_not_grow_with_partitions(spark, docs):
+def test_rows_shuffled_for_the_sample_do_not_grow_with_partitions(spark, docs, monkeypatch):
     rows = docs([(i, f"text {i}", "en") for i in range(6000)]).select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
-    bound = lambda n: rows.repartition(n).where(F.col("h") <= int((2 * 4 * 20 / 6000 - 1) * (1 << 63))).count()
-    assert bound(2) == bound(64) < 200
-    assert {r["text"] for r in language_id._sample(rows.repartition(64), 20, None).collect()} == {r["text"] for r in language_id._sample(rows.repartition(2), 20, None).collect()}
+    plans = []
+    stage = language_id.checkpointed
+    monkeypatch.setattr(language_id, "checkpointed", lambda df: (plans.append(df), stage(df))[1])
+    first, second = ({r["text"] for r in language_id._sample(rows.repartition(n), 20, None).collect()} for n in (2, 64))
+    assert first == second and len(plans) == 2
+    for df in plans:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # no text is dealt by language before the bound is applied
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    below = rows.where(F.col("h") <= int((2 * 4 * 20 / 6000 - 1) * (1 << 63))).count()
+    assert 20 <= below < 200
 
 
 def test_pieces_come_from_the_whole_text(spark, docs):
