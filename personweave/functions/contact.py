@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import trim_ws
 
+#: Fixed patterns: an address, and addresses, numbers and links in a text.
 EMAIL = r"^[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}$"
 EMAIL_IN_TEXT = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 PHONE_IN_TEXT = (
@@ -30,7 +31,9 @@ PLATFORM_DOMAINS = {
 #: Labels of typed contacts.
 EMAIL_TYPES = {"work": "work", "personal": "personal", "home": "personal", "school": "school", "other": "other"}
 PHONE_TYPES = {"mobile": "mobile", "cell": "mobile", "work": "work", "office": "work", "home": "home", "fax": "fax", "other": "other"}
-#: National lengths of some calling codes besides 1, longest code first where one begins another.
+#: National lengths of some calling codes besides 1, longest code first where one begins another. A number is valid if
+#: it is North American (area code and exchange start with 2 to 9) or has one of these codes and lengths; all other
+#: codes, number ranges inside a country, and extensions without x, ext or # are not known and count as invalid.
 CALLING_CODES = {"44": (9, 10), "49": (6, 11), "33": (9, 9), "91": (10, 10), "61": (9, 9), "81": (9, 10), "86": (11, 11), "34": (9, 9), "39": (8, 11), "31": (9, 9)}
 
 

@@ -10,7 +10,8 @@ from .text import let, trim_ws
 OPEN_ENDED = ("present", "current", "now", "ongoing")
 #: What an end may say besides for the role to be current.
 CURRENT = (*OPEN_ENDED, "-", "–", "—", "")
-MONTH = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
+_MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+MONTH = f"(?:{'|'.join(m[:3] + f'(?:{m[3:]})?' * (len(m) > 3) for m in _MONTHS)})"
 DATE_RANGE = rf"(?i)(?:{MONTH}\.?\s+)?\d{{4}}\s*(?:[^a-zA-Z0-9\s]+|to|\s+)\s*(?:(?:{MONTH}\.?\s+)?\d{{4}}|Present|Current|Now|Ongoing)"
 PATTERNS = ("yyyy-MM-dd", "yyyy/MM/dd", "yyyy-MM", "yyyy/MM", "MM/yyyy", "M/d/yyyy", "MMM yyyy", "MMMM yyyy", "MMM d yyyy", "MMMM d yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyy")
 

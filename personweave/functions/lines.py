@@ -29,8 +29,11 @@ HEADINGS: dict[str, tuple[str, ...]] = {
 SKILL_GROUPS = ("languages", "frameworks", "tools", "databases", "cloud", "operating systems", "language", "libraries", "software", "platforms", "database")
 #: Words of job titles.
 TITLE_WORDS = ("engineer", "developer", "architect", "manager", "director", "analyst", "designer", "consultant", "specialist", "coordinator", "administrator", "scientist", "researcher", "officer", "lead", "head", "principal", "staff", "senior", "junior", "associate", "intern", "vp", "cto", "ceo", "cfo", "coo", "president", "founder", "co-founder")
+#: Fixed patterns: bullets, decorations at either end of a heading, punctuation at its end, grades.
 BULLET = r"^[•·▪◦○●\-*+]\s+"
-_DECOR = r"[=\-_*•·|▬▪◦\s]+"
+DECOR = r"[=\-_*•·|▬▪◦\s]+"
+TAIL = r"[:\-|\s]+$"
+GPA = r"(?i)GPA[:\s]*(\d\.\d+)\s*(?:/\s*(\d+(?:\.\d+)?))?"
 
 
 def lines_of(text: Column) -> Column:
@@ -39,8 +42,8 @@ def lines_of(text: Column) -> Column:
 
 def normalize_line(line: Column) -> Column:
     """Lower case, without decorations at either end and punctuation at the end, single spaces."""
-    s = F.regexp_replace(F.lower(trim_ws(line)), f"^{_DECOR}|{_DECOR}$", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(s, r"[:\-|\s]+$", ""), r"\s+", " "))
+    s = F.regexp_replace(F.lower(trim_ws(line)), f"^{DECOR}|{DECOR}$", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(s, TAIL, ""), r"\s+", " "))
 
 
 def heading_section(line: Column) -> Column:
@@ -106,9 +109,8 @@ def bullets(lines: Column) -> Column:
 
 def gpa(line: Column) -> Column:
     """struct(gpa, gpa_scale) of a line, the scale 4 unless it says; null without a GPA."""
-    pattern = r"(?i)GPA[:\s]*(\d\.\d+)\s*(?:/\s*(\d+(?:\.\d+)?))?"
-    value = F.regexp_extract(line, pattern, 1).try_cast("double")
-    return F.when(value.isNotNull(), F.struct(value.alias("gpa"), F.coalesce(F.regexp_extract(line, pattern, 2).try_cast("double"), F.lit(4.0)).alias("gpa_scale")))
+    value = F.regexp_extract(line, GPA, 1).try_cast("double")
+    return F.when(value.isNotNull(), F.struct(value.alias("gpa"), F.coalesce(F.regexp_extract(line, GPA, 2).try_cast("double"), F.lit(4.0)).alias("gpa_scale")))
 
 
 def courses(line: Column) -> Column:

@@ -50,6 +50,7 @@ TEXT_LEVELS = {
     "certificate": ("certificate", "diploma", "nanodegree", "professional certificate"),
     "high_school": ("high school", "secondary school", "ged", "high school diploma"),
 }
+#: Fixed patterns: suffixes of company names, and what makes a bullet quantified.
 LEGAL_SUFFIX = r"(?i)\b(inc|llc|ltd|corp|corporation|pvt|private|limited)\b\.?"
 QUANTIFIED = r"(?i)\d+\s*%|\d+x|\$[\d,]+|\d+\s*(?:million|billion|thousand|k)\b|\d+\s*(?:engineers?|developers?|members?|users?)"
 

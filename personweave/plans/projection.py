@@ -50,6 +50,7 @@ class Config:
             low, high = (r.get("min"), r.get("max")) if isinstance(r, dict) else (None, None)
             number = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool)
             if not (number(low) and number(high) and low < high):
+                # fixed text
                 out.warnings = [f"Invalid confidence range (min={low}, max={high}). Falling back to default range [0.0, 1.0]."]
                 out.confidence_range = {"min": 0.0, "max": 1.0}
         return out
@@ -188,6 +189,7 @@ class Compiler:
         missing, policy = node.column.isNull(), self.config.on_missing
         error = omit = None
         if desc.get("required") or policy == "error":
+            # fixed text, as are those below that name a field
             error = F.when(missing, f"Required field '{label or path or 'unknown'}' (from '{path}') could not be resolved.")
         elif policy == "omit":
             omit = missing

@@ -167,7 +167,20 @@ def email_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("k", _join(F.transform(made["emails"], lambda e: e["address"])).alias("valid"), _join(F.transform(made["warnings"], lambda w: w["raw"])).alias("invalid"), F.get(made["emails"], 0)["domain"].alias("domain"))
 
 
-@add()
+# DuckDB's patterns look neither back nor ahead, so each step takes one number off the rest, of which the first
+# character is the one before: a space, then the last one of the number that was taken
+_PHONE = r"(?:(?:\+?1[ \t\n\x0b\f\r.\-]?)?(?:\([2-9][0-9]{2}\)|[2-9][0-9]{2})[ \t\n\x0b\f\r.\-]?[2-9][0-9]{2}[ \t\n\x0b\f\r.\-]?[0-9]{4}|\+[0-9]{1,3}[ \t\n\x0b\f\r.\-]?[0-9 \t\n\x0b\f\r.\-]{6,20})"
+
+
+@add(f"""
+WITH RECURSIVE step AS (
+  SELECT doc_id, 0 AS i, '' AS num, concat(' ', text) AS rest, regexp_extract(concat(' ', text), '(?s)^(.*?[^0-9])({_PHONE})(?:[^0-9]|$)', ['pre', 'num']) AS m FROM documents
+  UNION ALL
+  SELECT doc_id, i + 1, m.num, r, regexp_extract(r, '(?s)^(.*?[^0-9])({_PHONE})(?:[^0-9]|$)', ['pre', 'num'])
+  FROM (SELECT *, concat(right(m.num, 1), substr(rest, length(m.pre) + length(m.num) + 1)) AS r FROM step WHERE m.num <> '')),
+t AS (SELECT doc_id, i, regexp_replace(num, '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g') AS num FROM step WHERE i > 0),
+f AS (SELECT doc_id, num, min(i) AS i FROM t GROUP BY doc_id, num)
+SELECT d.doc_id, coalesce(string_agg(num, '|' ORDER BY i), '') AS phones FROM documents d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY d.doc_id""")
 def phone_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, "documents").select("doc_id", _join(contact.find_phones(F.col("text"))).alias("phones"))
 
