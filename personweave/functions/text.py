@@ -13,6 +13,16 @@ def let(c: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), f), 0)
 
 
+def first_by(items: Column, key: Callable[[Column], Column]) -> Column:
+    """Of items with equal keys the first, in order. The keys are made once; null keys are left out."""
+    keyed = F.transform(items, lambda x: F.struct(key(x).alias("k"), x.alias("x")))
+
+    def firsts(pairs: Column) -> Column:
+        return let(F.transform(pairs, lambda p: p["k"]), lambda keys: F.transform(F.filter(pairs, lambda p, i: F.array_position(keys, p["k"]) == i + 1), lambda p: p["x"]))
+
+    return let(keyed, firsts)
+
+
 def trim_ws(c: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

@@ -84,8 +84,7 @@ def roles(items: Column, as_of: Column) -> Column:
 def skills(items: Column) -> Column:
     """Canonical names; of equal ones the first stays."""
     named = F.transform(items, lambda s: s.withField("name", profile.skill_name(s["name"])))
-    low = F.transform(named, lambda s: F.lower(s["name"]))
-    return F.filter(named, lambda s, i: F.array_position(low, F.lower(s["name"])) == i + 1)
+    return text.first_by(named, lambda s: F.lower(s["name"]))
 
 
 def education(items: Column) -> Column:

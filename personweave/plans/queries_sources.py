@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import contact, dates, lines, profile, text
 from ..functions.ids import row_hash
-from ..sources import csv, json_paths, notes, repo_api, sectioned
+from ..sources import coerce, csv, json_paths, notes, repo_api, sectioned
 from .views import Catalog, frame, sql_collapse, sql_is_email, sql_split, sql_trim
 
 catalog = Catalog()
@@ -356,13 +356,29 @@ def repo_payload_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repo_api.with_payloads(repos, {"topics": topics}).select(F.col("full_name").alias("k"), _join("topics").alias("topics"))
 
 
+#: What the payloads of json_coerce_defaults are brought to.
+_SETTINGS = {
+    "type": "object",
+    "required": ["k", "name", "tags", "mode"],
+    "properties": {"k": {"$ref": "#/$defs/count"}, "name": {"type": "string"}, "tags": {"type": "array", "items": {"type": "string"}}, "mode": {"anyOf": [{"type": "string"}, {"type": "null"}]}, "profiles": {"type": "array"}},
+    "$defs": {"count": {"type": "integer"}},
+}
+
+
 @add("""
-SELECT event_id, coalesce((props->>'$.k')::BIGINT, 0) AS k, '' AS name, CASE WHEN event_id % 3 = 0 THEN 'fallback' ELSE 'given' END AS mode FROM events""")
+SELECT event_id, CASE WHEN event_id % 5 = 4 THEN 0 ELSE (props->>'$.k')::BIGINT END AS k, CASE event_id % 5 WHEN 0 THEN event_type WHEN 1 THEN concat(event_type, chr(10), 'x') ELSE 'N/A' END AS name,
+  CASE event_id % 5 WHEN 1 THEN event_type WHEN 2 THEN 'a|N/A' ELSE '' END AS tags, CASE WHEN event_id % 5 = 4 THEN 'fallback' END AS mode, CASE event_id % 5 WHEN 3 THEN 1 END AS n_profiles FROM events""")
 def json_coerce_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = frame(spark, sf_dir, "SELECT event_id, props, CASE WHEN event_id % 3 = 0 THEN 'not json' ELSE '{{\"mode\":\"given\"}}' END AS config FROM {events}")
-    p = F.from_json("props", "k bigint, name string", {"mode": "PERMISSIVE"})
-    mode = json_paths.value_at(F.coalesce(F.try_parse_json("config"), F.parse_json(F.lit('{"mode":"fallback"}'))), "mode")
-    return df.select("event_id", F.coalesce(p["k"], F.lit(0)).alias("k"), F.coalesce(p["name"], F.lit("")).alias("name"), mode.alias("mode"))
+    df = frame(spark, sf_dir, """SELECT event_id, CASE event_id % 5
+        WHEN 0 THEN concat('{{"k":', get_json_object(props, '$.k'), ',"name":"', event_type, '"}}')
+        WHEN 1 THEN concat('{{"k":"', get_json_object(props, '$.k'), '.7","name":["', event_type, '","x"],"tags":"', event_type, '"}}')
+        WHEN 2 THEN concat('{{"k":', get_json_object(props, '$.k'), ',"name":null,"tags":["a",null]}}')
+        WHEN 3 THEN concat('{{"k":', get_json_object(props, '$.k'), ',"profiles":[{{"platform":"github","url":"u"}},{{"platform":"nowhere","url":"u"}},{{"platform":"github"}}]}}')
+        ELSE 'not json' END AS config FROM {events}""")
+    made = coerce.coerce_json(df, "config", _SETTINGS, fallback='{"mode":"fallback"}')
+    p = F.from_json("config", "k bigint, name string, tags array<string>, mode string, profiles array<struct<platform:string,url:string>>")
+    found = made.select("event_id", p.alias("p"))
+    return found.select("event_id", "p.k", "p.name", _join(F.col("p.tags")).alias("tags"), "p.mode", F.when(F.col("p.profiles").isNotNull(), F.size("p.profiles")).alias("n_profiles"))
 
 
 @add("""

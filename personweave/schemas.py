@@ -39,6 +39,8 @@ EXTRACTED = {
     "metadata": "map<string,string>",
 }
 
+#: Platforms of profiles.
+SOURCE_PLATFORMS = ("github", "linkedin", "twitter", "stackoverflow", "portfolio", "blog", "dribbble", "behance", "kaggle", "leetcode", "other")
 SOURCE_TYPES = ("resume", "csv", "ats_json", "github", "linkedin", "recruiter_notes", "manual")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import contact
 from ..functions.ids import row_hash
-from ..functions.text import blank_to_null, split_multi, trim_ws
+from ..functions.text import blank_to_null, first_by, split_multi, trim_ws
 from ..schemas import EDUCATION, EMAILS, LOCATION, PHONES, PROFILES, ROLES, SKILLS, WARNINGS, extracted, record
 
 #: Header names (lower case) of each canonical field.
@@ -92,8 +92,7 @@ def links(found: list[tuple[Column, str | None]]) -> Column:
     """Profiles of links in order, without trailing slashes; of equal links the first. Without a platform, by domain."""
     made = [F.when(contact.clean_url(u) != "", record(PROFILES, platform=contact.platform(u) if p is None else F.lit(p), url=contact.clean_url(u))) for u, p in found]
     every = F.array_compact(F.array(*made))
-    urls = F.transform(every, lambda x: x["url"])
-    return F.filter(every, lambda x, i: F.array_position(urls, x["url"]) == i + 1)
+    return first_by(every, lambda x: x["url"])
 
 
 def rows(df: DataFrame, custom: dict[str, str] | None = None, entity_key: Column | None = None, src_ord: Column | None = None) -> DataFrame:
@@ -126,7 +125,8 @@ def grouped(df: DataFrame, order: Column | None = None, custom: dict[str, str] |
     """One extracted record for each uid, with its typed rows; certifications are JSON in its metadata.
 
     Rows without a uid stand alone. Scalars are the first that are not blank, lists keep first items,
-    addresses and numbers without repeats. `order` places rows (default: as scanned). Rows whose GPA
+    addresses and numbers without repeats. `order` places rows; the default numbers them as they are scanned, so it (and
+    the keys of rows without a uid) depends on how the input is split: give an order where that matters. Rows whose GPA
     is above its scale get a warning and add no education. compat_grouping leaves out the skills
     column, the current role and the links of grouped rows.
     """
@@ -144,7 +144,7 @@ def grouped(df: DataFrame, order: Column | None = None, custom: dict[str, str] |
     scalars = ("first_name", "middle_name", "last_name", "full_name", "summary", "location")
     aggregates = [first(f"o_{n}").alias(n) for n in scalars] + [inner(f"o_{n}").alias(n) for n in ("emails", "phones", "skills", "experience", "profiles", "warnings")]
     out = wide.groupBy("__uid").agg(F.min("__ord").alias("__ord"), *aggregates, *[listed(f"t_{n}").alias(f"t_{n}") for n in typed])
-    distinct = lambda c, k: F.filter(F.col(c), lambda x, i: F.array_position(F.transform(F.col(c), lambda y: y[k]), x[k]) == i + 1)
+    distinct = lambda c, k: first_by(F.col(c), lambda x: x[k])
     none = F.array()
     given = {n: F.col(n) for n in (*scalars, "warnings")} | {"emails": distinct("emails", "address"), "phones": distinct("phones", "raw")}
     given["skills"] = F.col("t_skills") if compat_grouping else F.concat("skills", "t_skills")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import contact
-from ..functions.text import split_multi, trim_ws
+from ..functions.text import first_by, split_multi, trim_ws
 from ..schemas import EMAILS, LOCATION, PHONES, SKILLS, extracted, record
 from .csv import current_role, links
 
@@ -79,8 +79,7 @@ def _contacts(mapped: list[Column], typed: Column, key, types: dict[str, str]) -
     plain = F.array_compact(F.array(*mapped)) if mapped else F.array().cast("array<string>")
     entry = "array<struct<value:string,type:string>>"
     every = F.concat(F.transform(plain, lambda x: F.struct(x.alias("value"), F.lit("unknown").alias("type"))).cast(entry), F.transform(typed, lambda e: F.struct(trim_ws(e["value"]).alias("value"), contact.label_type(e["type"], types).alias("type"))).cast(entry))
-    keys = F.transform(every, lambda e: key(e["value"]))
-    return F.filter(every, lambda e, i: F.array_position(keys, key(e["value"])) == i + 1)
+    return first_by(every, lambda e: key(e["value"]))
 
 
 def read(df: DataFrame, payload: Column, paths: dict[str, str], label: str = "ats", id_path: str = "id", entity_key: Column | None = None, src_ord: Column | None = None, email_arrays: tuple[str, ...] = ("email_addresses",), phone_arrays: tuple[str, ...] = ("phone_numbers", "phones")) -> DataFrame:

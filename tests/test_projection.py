@@ -80,3 +80,25 @@ def test_schema(spark):
         assert sorted(f"{e['path']} {e['validator']}" for e in got["schema_errors"]) == expected, payload
     with pytest.raises(Exception, match="required property"):
         validate(df.limit(6).where("p like '%n%' AND p not like '%a%'"), "p", schema, strict=True).collect()
+
+
+def test_schema_keywords(spark):
+    def kinds(schema, value):
+        df = validate(spark.createDataFrame([(value,)], "p string"), "p", schema)
+        return [(e["path"], e["validator"]) for e in df.first()["schema_errors"]]
+
+    assert kinds({"exclusiveMinimum": 1, "exclusiveMaximum": 3}, "1") == [("$", "exclusiveMinimum")] and kinds({"exclusiveMaximum": 3}, "3") == [("$", "exclusiveMaximum")] and kinds({"exclusiveMinimum": 1}, "2") == []
+    assert kinds({"uniqueItems": True}, '[1,{"a":1},1]') == [("$", "uniqueItems")] and kinds({"uniqueItems": True}, '[1,"1"]') == []
+    assert kinds({"anyOf": [{"type": "string"}, {"minimum": 5}]}, "3") == [("$", "anyOf")] and kinds({"anyOf": [{"type": "string"}, {"minimum": 5}]}, "7") == []
+    assert kinds({"oneOf": [{"type": "integer"}, {"minimum": 5}]}, "7") == [("$", "oneOf")] and kinds({"oneOf": [{"type": "integer"}, {"minimum": 5}]}, "3") == []
+    assert kinds({"allOf": [{"type": "string"}, {"minLength": 2}]}, '"a"') == [("$", "minLength")]
+    assert kinds({"not": {"type": "null"}}, "null") == [("$", "not")] and kinds({"not": {"type": "null"}}, "1") == []
+    refs = {"properties": {"a": {"$ref": "#/$defs/n"}, "b": {"items": {"$ref": "#/definitions/s"}}}, "$defs": {"n": {"type": "integer"}}, "definitions": {"s": {"type": "string"}}}
+    assert kinds(refs, '{"a":"x","b":["y",1]}') == [("$.a", "type"), ("$.b.1", "type")]
+    wild = {"properties": {"a": {}}, "patternProperties": {"^n_": {"type": "integer"}}, "additionalProperties": {"type": "string"}}
+    assert kinds(wild, '{"a":[],"n_1":"x","n_2":3,"z":"ok","y":5}') == [("$.n_1", "type"), ("$.y", "type")]
+    assert kinds({"patternProperties": {"^n_": True}, "additionalProperties": False}, '{"n_1":1}') == [] and kinds({"additionalProperties": False}, '{"n_1":1}') == [("$", "additionalProperties")]
+    assert kinds({"properties": {"a": False}, "format": "email", "title": "t"}, '{"a":1}') == [("$.a", "false")]
+    for bad in ({"if": {}}, {"properties": {"a": {"contains": {}}}}, {"$ref": "#/$defs/none"}, {"$ref": "#/$defs/a", "$defs": {"a": {"$ref": "#/$defs/a"}}}):
+        with pytest.raises(ValueError):
+            kinds(bad, "1")

@@ -138,3 +138,81 @@ def test_binary_files(spark, tmp_path):
     (tmp_path / "c.txt").write_bytes(b"x")
     rows = sectioned.read_files(spark, str(tmp_path), lambda b: b.decode()).collect()
     assert sorted(str(r["text"]) for r in rows) == ["Jane Roe", "None"]
+
+
+def test_coercion():
+    from personweave.sources.coerce import coercer
+
+    schema = {
+        "type": "object",
+        "required": ["name", "flag", "n", "x", "list", "inner", "maybe", "other"],
+        "properties": {
+            "name": {"type": "string"}, "flag": {"type": "boolean"}, "n": {"type": "integer"}, "x": {"type": "number"}, "list": {"type": "array", "items": {"$ref": "#/$defs/part"}},
+            "inner": {"type": "object"}, "maybe": {"type": ["string", "null"]}, "profiles": {"type": "array"}, "tree": {"$ref": "#/$defs/tree"}, "any": {"anyOf": [{"type": "integer"}, {"type": "null"}]},
+        },
+        "$defs": {"part": {"type": "object", "properties": {"raw": {"type": "string"}}}, "tree": {"type": "object", "properties": {"next": {"$ref": "#/$defs/tree"}, "v": {"type": "integer"}}}},
+    }
+    apply = coercer(schema)
+    assert apply({}) == {"name": "N/A", "flag": False, "n": 0, "x": 0, "list": [], "inner": None or {}, "maybe": None, "other": "N/A"}
+    assert apply({"name": ["a", 1], "flag": "Yes", "n": "7.9", "x": "bad", "list": "one", "maybe": 5, "inner": "t", "other": 1, "more": [1]}) == {
+        "name": "a\n1", "flag": True, "n": 7, "x": 0, "list": [{"raw": "one"}], "maybe": "5", "inner": {"raw": "t"}, "other": 1, "more": [1]
+    }
+    assert apply({"name": {"raw": "r"}, "flag": 1, "n": float("inf"), "profiles": [{"platform": "github", "url": "u"}, {"platform": "odd", "url": "u"}, {"platform": "github"}, 5]})["profiles"] == [{"platform": "github", "url": "u"}]
+    assert apply({"tree": {"next": {"next": {"v": "3"}}}, "any": None})["tree"] == {"next": {"next": {"v": 3}}}
+    assert apply({"any": None})["any"] is None and apply({"any": "4"})["any"] == 4
+    assert coercer({"type": "string"})(None) == "N/A" and coercer({"type": "array"})(None) == [] and coercer({})({"a": 1}) == {"a": 1}
+    with pytest.raises(ValueError, match="circular"):
+        coercer({"$ref": "#/$defs/a", "$defs": {"a": {"$ref": "#/$defs/a"}}})
+
+
+def test_coerced_column(spark):
+    from personweave.sources.coerce import coerce_json
+
+    df = spark.createDataFrame([(1, '{"n":"2"}'), (2, "bad"), (3, None), (4, "")], "`a.b` long, text string").withColumn("__json", F.lit("x"))
+    schema = {"type": "object", "properties": {"n": {"type": "integer"}}}
+    assert [r["text"] for r in coerce_json(df, "text", schema).collect()] == ['{"n":2}', None, None, None]
+    out = coerce_json(df, "text", schema, fallback='{"n":"9"}', output="made")
+    assert out.columns == [*df.columns, "made"] and [r["made"] for r in out.collect()] == ['{"n":2}', '{"n":9}', '{"n":9}', '{"n":9}']
+    assert coerce_json(df.limit(0), "text", schema).count() == 0
+
+
+def test_model_with_fallback(spark, tmp_path):
+    from personweave.sources import model
+
+    def complete(text):
+        import os
+
+        if "late" in text:
+            mark = str(tmp_path / "tried")
+            if not os.path.exists(mark):
+                open(mark, "w").close()
+                raise model.Temporary("busy")
+        if "down" in text:
+            raise model.Temporary("always busy")
+        if "broken" in text:
+            return "no json"
+        return '```json\n{"full_name": "Ann Lee", "emails": [{"address": "a@x.co", "is_primary": "yes"}], "skills": "go", "profiles": [{"platform": "nowhere", "url": "u"}], "location": "Berlin", "experience": [{"company": "Acme", "title": null, "start_date": "2020-01-01"}]}\n```'
+
+    rows = [("ok",), ("late",), ("down\n\nSkills\nPython",), ("broken",), ("  ",), (None,)]
+    landed = model.land(spark.createDataFrame(rows, "text string").coalesce(1), complete, str(tmp_path / "landed"), wait=0.0)
+    found = {r["raw_text"]: r for r in model.read(landed).collect()}
+    assert len(found) == 6
+    for text in ("ok", "late"):
+        r = found[text]
+        assert r["full_name"] == "Ann Lee" and r["emails"][0]["is_primary"] is True and r["profiles"] == [] and r["warnings"] == []
+        assert r["location"]["raw"] == "Berlin" and str(r["experience"][0]["start_date"]) == "2020-01-01" and r["experience"][0]["title"] is None
+    assert "always busy" in found["down\n\nSkills\nPython"]["warnings"][0]["message"] and [s["name"] for s in found["down\n\nSkills\nPython"]["skills"]] == ["Python"]
+    assert "JSONDecodeError" in found["broken"]["warnings"][0]["message"]
+    assert [w["message"] for w in found["  "]["warnings"]] == [w["message"] for w in found[None]["warnings"]] == ["No text"]
+    assert model.read(landed).schema == sectioned.read(spark.createDataFrame(rows, "text string")).schema
+
+
+def test_documents_that_cannot_be_read_say_so(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"Jane Roe")
+    (tmp_path / "b.pdf").write_bytes(b"\xff")
+    files = sectioned.read_files(spark, str(tmp_path), lambda b: b.decode())
+    by = {r["path"].rsplit("/", 1)[1]: r for r in files.collect()}
+    assert by["a.pdf"]["text"] == "Jane Roe" and by["a.pdf"]["warnings"] == []
+    assert by["b.pdf"]["text"] is None and "UnicodeDecodeError" in by["b.pdf"]["warnings"][0]["message"]
+    read = {r["raw_text"]: [w["message"] for w in r["warnings"]] for r in sectioned.read(files).collect()}
+    assert len(read[None]) == 2 and "UnicodeDecodeError" in read[None][0] and read[None][1] == "No text"
