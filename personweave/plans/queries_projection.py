@@ -7,6 +7,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .pipeline import generate_output
 from .projection import project
 from .validation import validate
 from .views import Catalog, frame
@@ -127,3 +128,12 @@ def schema_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = validate(project(frame(spark, sf_dir, _ENTITY), config), "output", _SCHEMA)
     shown = F.transform("schema_errors", lambda e: F.concat_ws(" ", e["path"], e["validator"]))
     return out.select("id", F.array_join(F.array_sort(shown), "|").alias("found"))
+
+
+@add(_E + f"""
+SELECT id, concat('{{"id":', id, coalesce(',"segment":"' || segment || '"', ''), ',"skills":', {_SKILLS.format('[{"name":"js"},{"name":"spark_sql"}]')}, '}}') AS output,
+  (CASE WHEN segment IS NULL THEN 1 ELSE 0 END + CASE WHEN id > 100 THEN 1 ELSE 0 END + CASE WHEN segment NOT IN ('building', 'machinery', 'household') THEN 1 ELSE 0 END + 1)::INTEGER AS n_errors FROM e""")
+def output_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = {"on_missing": "omit", "fields": [{"path": "id"}, {"path": "segment"}, {"path": "skills", "fields": [{"path": "name"}]}]}
+    out = generate_output(frame(spark, sf_dir, _ENTITY), config, _SCHEMA)
+    return out.select("id", "output", F.size("schema_errors").alias("n_errors"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import contact, dates, lines, profile, text
 from ..functions.ids import row_hash
-from ..sources import coerce, csv, json_paths, notes, repo_api, sectioned
+from ..sources import base, coerce, csv, json_paths, notes, repo_api, sectioned
 from .views import Catalog, frame, sql_collapse, sql_is_email, sql_split, sql_trim
 
 catalog = Catalog()
@@ -356,6 +356,34 @@ def repo_payload_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repo_api.with_payloads(repos, {"topics": topics}).select(F.col("full_name").alias("k"), _join("topics").alias("topics"))
 
 
+# records without a cell that is not empty go, those of two segments here
+@add("""
+SELECT c_custkey AS k, concat('Ann "', c_name, '"') AS name, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE concat('a,', c_mktsegment) END AS mail FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')""")
+def csv_text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = frame(spark, sf_dir, """SELECT c_custkey AS k, CASE c_mktsegment WHEN 'BUILDING' THEN ',' WHEN 'MACHINERY' THEN NULL
+        ELSE translate(concat('~Ann ~~', c_name, '~~~,', CASE WHEN c_custkey % 2 = 0 THEN '' ELSE concat('~a,', c_mktsegment, '~') END), '~', chr(34)) END AS line FROM {customer}""")
+    return csv.parse_lines(df, "line", ["name", "mail"])
+
+
+@add("""
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat('{"t":"', event_type, '"}') WHEN 1 THEN concat('["', event_type, '",1]') ELSE '{"empty":true}' END AS value FROM events""")
+def json_text_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = frame(spark, sf_dir, """SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat('{{"t": "', event_type, '"}}') WHEN 1 THEN concat(' ["', event_type, '", 1]')
+        WHEN 2 THEN concat('{{', event_type) ELSE '  ' END AS text FROM {events}""")
+    return df.select("event_id", F.to_json(json_paths.parse_text(F.col("text"), '{"empty": true}')).alias("value"))
+
+
+@add("""
+SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN 'text:No text' WHEN 1 THEN 'text:No text' WHEN 2 THEN 'full_name:No name at the top of the text' ELSE '' END AS warnings,
+  CASE c_custkey % 4 WHEN 3 THEN 'Ann Lee Roe' END AS full_name FROM customer""")
+def blank_text_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = frame(spark, sf_dir, """SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN concat(' ', chr(10), chr(9)) WHEN 1 THEN NULL
+        WHEN 2 THEN concat('Skills', chr(10), '- ', c_mktsegment) ELSE concat('Ann Lee Roe', chr(10), 'Skills', chr(10), '- sql') END AS text FROM {customer}""")
+    out = base.builtin().read("resume", df, entity_key=F.col("k"))
+    shown = F.transform("warnings", lambda w: F.concat_ws(":", w["field"], w["message"]))
+    return out.select(F.col("entity_key").cast("bigint").alias("k"), _join(shown).alias("warnings"), "full_name")
+
+
 #: What the payloads of json_coerce_defaults are brought to.
 _SETTINGS = {
     "type": "object",

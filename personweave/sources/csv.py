@@ -50,6 +50,18 @@ def read(spark: SparkSession, path: str, encoding: str = "utf-8", delimiter: str
     return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
 
 
+def parse_lines(df: DataFrame, line: str, headers: list[str], delimiter: str = ",") -> DataFrame:
+    """Rows of delimited text, one record in each value of the column `line`: all cells as text, absent ones empty.
+
+    The headers' columns take the place of `line`; other columns stay. Records whose cells are all empty, and null ones, go.
+    """
+    names = [f"c{i}" for i in range(len(headers))]
+    cells = F.from_csv(F.col(f"`{line}`"), ", ".join(f"{n} string" for n in names), {"sep": delimiter, "escape": '"'})
+    others = [F.col(f"`{c}`") for c in df.columns if c != line]
+    kept = df.select(*others, cells.alias("__cells")).where(F.coalesce(*[F.nullif(F.col(f"__cells.{n}"), F.lit("")) for n in names]).isNotNull())
+    return kept.select(*others, *[F.coalesce(F.col(f"__cells.{n}"), F.lit("")).alias(h) for n, h in zip(names, headers, strict=True)])
+
+
 def canonical(df: DataFrame, custom: dict[str, str] | None = None) -> dict[str, Column]:
     """For each canonical field that some header maps to, its trimmed cell: of several columns the last that is not blank."""
     table, found = mapping(custom), {}

@@ -43,6 +43,11 @@ LISTING_VENDOR = {
 FLAT = {n: n for n in ("first_name", "last_name", "email", "phone", "location", "summary", "skills", "current_company", "current_title", "linkedin_url", "github_url", "portfolio_url")}
 
 
+def parse_text(text: Column, fallback: str) -> Column:
+    """JSON text as a VARIANT; the fallback, JSON text too, where it is null, blank or unreadable."""
+    return F.coalesce(F.try_parse_json(text), F.parse_json(F.lit(fallback)))
+
+
 def json_paths(path: str) -> list[str]:
     """A dotted path as JSON paths: a number is an index, or a key of an object."""
     choices = [(f"[{p}]", f"['{p}']") if p.isdigit() else (f"['{p}']",) for p in path.split(".")]

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.contact import username
 from ..session import importable
+from .base import SourceError
 from .repo_api import FILE_IMPLIES
 
 #: (url, headers, seconds) -> (status, body)
@@ -28,10 +29,6 @@ MANIFESTS = frozenset(FILE_IMPLIES) | {"requirements.txt"}
 LANDED = "username string, rank int, full_name string, kind string, path string, payload string, error string"
 
 
-class SourceError(RuntimeError):
-    """A source that cannot be read at all."""
-
-
 def http_get(url: str, headers: dict[str, str], seconds: float) -> tuple[int, str]:
     try:
         with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=seconds) as answer:  # noqa: S310

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from personweave.sources import csv, json_paths, notes, repo_api, sectioned
+from personweave.sources import base, csv, json_paths, notes, repo_api, sectioned
 
 
 def test_csv_file(spark, tmp_path):
@@ -216,3 +216,29 @@ def test_documents_that_cannot_be_read_say_so(spark, tmp_path):
     assert by["b.pdf"]["text"] is None and "UnicodeDecodeError" in by["b.pdf"]["warnings"][0]["message"]
     read = {r["raw_text"]: [w["message"] for w in r["warnings"]] for r in sectioned.read(files).collect()}
     assert len(read[None]) == 2 and "UnicodeDecodeError" in read[None][0] and read[None][1] == "No text"
+
+
+def test_registry(spark):
+    registry = base.builtin()
+    df = spark.createDataFrame([("Ann Lee\nSkills\n- sql",)], "text string")
+    assert registry.read("resume", df).first()["full_name"] == "Ann Lee"
+    with pytest.raises(base.SourceError, match="resume: no column text"):
+        registry.read("resume", df.withColumnRenamed("text", "TEXT"))
+    with pytest.raises(base.SourceError, match="unknown source"):
+        registry.read("fax", df)
+    with pytest.raises(ValueError):
+        registry.add(base.Source("csv", "csv", csv.rows))
+    with pytest.raises(ValueError):
+        base.Source("fax", "fax", csv.rows)
+    with pytest.raises(base.SourceError, match="records have the columns"):
+        base.Source("plain", "csv", lambda rows: rows).read(df)
+
+
+def test_text_helpers(spark):
+    df = spark.createDataFrame([(1, 'a,"b ""c"", d"'), (2, ","), (3, None), (4, ""), (5, "x"), (6, "e,f,g")], "`a.b` int, line string")
+    rows = csv.parse_lines(df, "line", ["a b", "name"]).collect()
+    assert [tuple(r) for r in rows] == [(1, "a", 'b "c", d'), (5, "x", ""), (6, "e", "f")]
+    assert csv.parse_lines(df.limit(0), "line", ["a b", "name"]).columns == ["a.b", "a b", "name"]
+    texts = spark.createDataFrame([('{"a": 1}',), (" ",), (None,), ("{",)], "t string")
+    shown = [r[0] for r in texts.select(F.to_json(json_paths.parse_text(F.col("t"), "[]"))).collect()]
+    assert shown == ['{"a":1}', "[]", "[]", "[]"]
