@@ -67,3 +67,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: Only where SQL can express the operator; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE_SQL, "op4_chat_formatting": chat.ORACLE_SQL, "op7_exact_topk": topk.ORACLE_SQL}
+
+
+# Of operators that SQL cannot express as a whole, the columns that it can.
+
+
+def _columns(of: Callable[[SparkSession, str], DataFrame], name: str, columns: list[str], sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: of(spark, sf_dir).select(*columns)
+    ORACLE_SQL[name] = sql
+
+
+_columns(op3_media_columns, "media_payloads", ["doc_id", "n_bytes", "payload_bytes", "payload_sha256"], media.PAYLOAD_SQL)
+_columns(op5_byte_bpe, "bpe_decoded", ["doc_id", "decoded_sha256"], "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents")
+_columns(op6_secret_scans, "secret_base_counts", ["doc_id", "n_assign", "n_access", "n_hex"], secret_scan.COUNTS_SQL)
+_columns(op8_pii, "pii_base_counts", ["doc_id", "n_email", "n_ip", "n_card", "n_phone"], pii.COUNTS_SQL)

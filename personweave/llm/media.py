@@ -439,3 +439,11 @@ def stored_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     return map_texts(docs, make, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", names, types, id_col, text_col)
+
+
+#: The payloads alone: texts as bytes, filled up with spaces to a positive multiple of 192.
+PAYLOAD_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, strlen(coalesce(text, '')) AS n FROM documents),
+p AS (SELECT doc_id, x, n, greatest(192, 192 * ((n + 191) // 192)) AS whole FROM t)
+SELECT doc_id, n::BIGINT AS n_bytes, whole::BIGINT AS payload_bytes, sha256(concat(x, repeat(' ', whole - n))) AS payload_sha256 FROM p
+"""

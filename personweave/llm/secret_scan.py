@@ -161,3 +161,19 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET
                 yield part.set_column(at, part.schema.field(at), texts)
 
     return map_rows(docs, run)
+
+
+def _either_case(word: str) -> str:
+    """DuckDB's own folding of case knows more letters than A-Z."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+#: The numbers of base spans of each kind.
+COUNTS_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents)
+SELECT doc_id,
+  len(list_filter(regexp_extract_all(x, '({"|".join(map(_either_case, ("password", "passwd", "secret", "token")))}|{_either_case("api")}_?{_either_case("key")})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda m: length(m) >= 6))::BIGINT AS n_assign,
+  len(list_filter(regexp_extract_all(x, 'AKIA[A-Z0-9]+'), lambda m: length(m) >= 20))::BIGINT AS n_access,
+  len(list_filter(regexp_extract_all(x, '[0-9a-f]+'), lambda m: length(m) >= 24))::BIGINT AS n_hex
+FROM t
+"""
