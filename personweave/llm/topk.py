@@ -1,9 +1,13 @@
 """Exact top-k search by term-at-a-time accumulation.
 
 Terms are the vectors' components. Queries and candidates are packed into blocks of bounded size; each
-block of queries meets each block of candidates once, in a grid of cells dealt evenly to tasks. In a cell, the
-postings of each term are scattered, weighted by the queries' components, into a dense array of
-scores, from which partition selection takes the best k of each query. The blocks' winners are merged.
+block of queries meets each block of candidates once, in a grid of cells, one a task: it holds its
+queries and reads its candidates one block after the other. The postings of each term are scattered, weighted by the
+queries' components, into a dense array of scores, from which partition selection takes the best k of each
+query; later blocks of the cell add what beats them. The cells' winners are merged.
+
+Blocks are dealt by cell and sorted, not joined: the planner takes a packed block for some 100 bytes, so it
+would send all queries, once for each column of the grid, through the driver.
 """
 
 from __future__ import annotations
@@ -23,11 +27,15 @@ SCALE = 1024
 MOST = float(2**63 - 1024)
 #: Vectors in a block: of queries, of candidates.
 QUERY_BLOCK, CANDIDATE_BLOCK = 512, 4096
+#: Queries whose scores are made together.
+GROUP = 32
+#: Times that a scattered sum takes as long as one in a run.
+SCATTERED = 8
 
 #: Blocks of queries that a cell of the grid holds, and cells that a block of queries is sent to at most.
-CELL_QUERIES, MOST_CELLS = 16, 256
+CELL_QUERIES, MOST_CELLS = 512, 64
 
-_BLOCK = "ids binary, cells binary, width int, slot long"
+_BLOCK = "ids binary, cells binary, width int, bytes int, slot long"
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -43,6 +51,12 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return out
 
 
+def _narrow(cells: np.ndarray) -> np.ndarray:
+    """The same numbers in the fewest bytes that hold all of them."""
+    least, most = int(cells.min(initial=0)), int(cells.max(initial=0))
+    return cells.astype(next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= least and most <= np.iinfo(t).max))
+
+
 def _blocks(size: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -50,59 +64,136 @@ def _blocks(size: int) -> Callable:
         for batch in batches:
             for at in range(0, batch.num_rows, size):
                 part = batch.slice(at, size)
-                cells = _matrix(part)
+                cells = _narrow(_matrix(part))
                 ids = part.column("vec_id").to_numpy(zero_copy_only=False).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([cells.tobytes()], pa.binary()), pa.array([cells.shape[1]], pa.int32()), pa.array([slot], pa.int64())], names=["ids", "cells", "width", "slot"])
+                row = {"ids": pa.array([ids.tobytes()], pa.binary()), "cells": pa.array([cells.tobytes()], pa.binary()), "width": pa.array([cells.shape[1]], pa.int32()), "bytes": pa.array([cells.itemsize], pa.int32()), "slot": pa.array([slot], pa.int64())}
+                yield pa.RecordBatch.from_pydict(row)
                 slot += 1
 
     return run
 
 
-def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+class Postings:
+    """Of a block of candidates, for each term the candidates that have it and their components."""
+
+    def __init__(self, cells: np.ndarray) -> None:
+        self.shape, self.most = cells.shape, _most(cells)
+        self._values = {np.int32: np.ascontiguousarray(cells.T, np.int32)} if cells.itemsize <= 4 else {}
+        self._values[np.int64] = None if self._values else np.ascontiguousarray(cells.T, np.int64)
+        self.where = [np.flatnonzero(v) for v in next(v for v in self._values.values() if v is not None)]
+
+    def values(self, kind: type) -> np.ndarray:
+        if self._values.get(kind) is None:
+            self._values[kind] = next(v for v in self._values.values() if v is not None).astype(kind)
+        return self._values[kind]
+
+
+def _most(cells: np.ndarray) -> int:
+    return max(int(cells.max(initial=0)), -int(cells.min(initial=0)))
+
+
+def accumulate(queries: np.ndarray, candidates: Postings) -> np.ndarray:
     """Scores (query, candidate): for each term, its postings weighted by the queries that have it.
 
     Postings lie term by term; queries go in groups whose scores stay in a processor's cache, and in
-    32 bits where no sum can exceed them.
+    32 bits where no sum can exceed them. A term that most have is added in one run, zeros and all.
     """
-    terms = min(queries.shape[1], candidates.shape[1])
-    most = [int(np.abs(m).max(initial=0)) for m in (queries, candidates)]
-    kind = np.int32 if most[0] * most[1] * max(1, terms) < 1 << 31 else np.int64
-    values = np.ascontiguousarray(candidates.T, kind)
-    postings = [np.flatnonzero(v) for v in values[:terms]]
-    scores = np.zeros((len(queries), len(candidates)), kind)
-    for at in range(0, len(queries), 64):
-        own, out = queries[at : at + 64].astype(kind), scores[at : at + 64]
+    n, terms = candidates.shape[0], min(queries.shape[1], candidates.shape[1])
+    kind = np.int32 if _most(queries) * candidates.most * max(1, terms) < 1 << 31 else np.int64
+    values, scores = candidates.values(kind), np.zeros((len(queries), n), kind)
+    added = np.empty((GROUP, n), kind)
+    for at in range(0, len(queries), GROUP):
+        own, out = queries[at : at + GROUP].astype(kind), scores[at : at + GROUP]
         for term in range(terms):
-            weights, where = own[:, term], postings[term]
+            weights, where = own[:, term], candidates.where[term]
             having = np.flatnonzero(weights)
-            if len(having) == len(own) and len(where) == len(candidates):
-                out += weights[:, None] * values[term]
+            if SCATTERED * len(having) * len(where) > len(own) * n:
+                out += np.multiply(weights[:, None], values[term], out=added[: len(own)])
             elif len(having) and len(where):
                 out[np.ix_(having, where)] += weights[having, None] * values[term, where]
     return scores
 
 
-def select(query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector, score) of each query's k best, ties to the smaller vector id, its own left out."""
-    out = []
-    for q, row in zip(query_ids, scores, strict=True):
+def select(query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each query's k best scores, ties to the smaller vector id, its own left out."""
+    rows, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at, (q, row) in enumerate(zip(query_ids, scores, strict=True)):
         others = np.flatnonzero(ids != q)
         if len(others) > k:
             least = np.partition(row[others], len(others) - k)[len(others) - k]
             others = others[row[others] >= least]
-        best = others[np.lexsort((ids[others], -row[others]))[:k]]
-        out.append((np.full(len(best), q), ids[best], row[best]))
-    return tuple(np.concatenate(c) if c else np.zeros(0, np.int64) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-
+        best = others[np.lexsort((ids[others], ~row[others]))[:k]]
+        rows.append(np.full(len(best), at))
+        columns.append(best)
+    return np.concatenate(rows), np.concatenate(columns)
+
+
+class Best:
+    """The k best so far of each query of a block, by row of the block, from the best to the least."""
+
+    def __init__(self, ids: np.ndarray, cells: np.ndarray, k: int) -> None:
+        self.ids, self.cells, self.k = ids, cells, k
+        self.rows, self.found, self.scores = (np.zeros(0, np.int64),) * 3
+        self.full, self.least, self.last = np.zeros(len(ids), bool), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+
+    def meet(self, ids: np.ndarray, candidates: Postings) -> None:
+        """Takes in a block of candidates: what beats the k-th of a query that has k, the k best for one that has fewer."""
+        scores = accumulate(self.cells, candidates)
+        some = np.flatnonzero(~self.full)
+        rows, columns = select(self.ids[some], ids, scores[some] if len(some) < len(scores) else scores, self.k)
+        rows = some[rows]
+        if self.full.any():
+            bounds, least = np.iinfo(scores.dtype), self.least[:, None]
+            if bounds.min <= least.min() and least.max() <= bounds.max:  # else compared in 64 bits
+                least = least.astype(scores.dtype)
+            better = (scores > least) | ((scores == least) & (ids < self.last[:, None]))
+            better[~self.full] = False
+            more, at = np.nonzero(better)
+            other = ids[at] != self.ids[more]
+            rows, columns = np.concatenate([rows, more[other]]), np.concatenate([columns, at[other]])
+        if not len(rows):
+            return
+        rows, found = np.concatenate([self.rows, rows]), np.concatenate([self.found, ids[columns]])
+        values = np.concatenate([self.scores, scores[rows[len(self.rows) :], columns].astype(np.int64)])
+        order = np.lexsort((found, ~values, rows))
+        rows = rows[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        kept = place < self.k
+        self.rows, self.found, self.scores = rows[kept], found[order][kept], values[order][kept]
+        last = np.flatnonzero(place[kept] == self.k - 1)
+        self.full[self.rows[last]] = True
+        self.least[self.rows[last]], self.last[self.rows[last]] = self.scores[last], self.found[last]
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(row["ids"], np.int64)
+    return ids, np.frombuffer(row["cells"], f"i{row['bytes']}").reshape(len(ids), row["width"])
+
+
+def _winners(own: list[Best]) -> Iterator[pa.RecordBatch]:
+    for block in own:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (block.ids[block.rows], block.found, block.scores)], names=["query_id", "vec_id", "score"])
+
+
+def _cells(k: int) -> Callable:
+    """Over blocks sorted by cell, the queries' before the candidates'."""
 
-def _cell(k: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, own = None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                queries = np.frombuffer(row["q_cells"], np.int64).reshape(-1, row["q_width"]) if row["q_width"] else np.zeros((len(row["q_ids"]) // 8, 0), np.int64)
-                candidates = np.frombuffer(row["cells"], np.int64).reshape(-1, row["width"]) if row["width"] else np.zeros((len(row["ids"]) // 8, 0), np.int64)
-                found = select(np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64), accumulate(queries, candidates), k)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["query_id", "vec_id", "score"])
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                if row["cell"] != cell:
+                    yield from _winners(own)
+                    cell, own = row["cell"], []
+                ids, cells = _unpacked(row)
+                if not row["candidate"]:
+                    own.append(Best(ids, cells, k))
+                elif own:
+                    postings = Postings(cells)
+                    for block in own:
+                        block.meet(ids, postings)
+        yield from _winners(own)
 
     return run
 
@@ -121,15 +212,16 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     kept = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")).where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(finite)
     asked = kept.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    n_queries = kept.where(F.col("vec_id") % every == 0).count()
+    n, n_queries = kept.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
     query_blocks = max(1, -(-n_queries // QUERY_BLOCK))
     down = -(-query_blocks // CELL_QUERIES)
-    across = max(1, min(MOST_CELLS, -(-n_queries * every // CANDIDATE_BLOCK)))
-    queries = asked.coalesce(query_blocks).mapInArrow(_blocks(QUERY_BLOCK), _BLOCK)
-    queries = queries.select(F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"), F.col("width").alias("q_width"), F.pmod("slot", F.lit(down)).alias("row"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))).alias("col"))
-    candidates = kept.mapInArrow(_blocks(CANDIDATE_BLOCK), _BLOCK)
-    candidates = candidates.select("ids", "cells", "width", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))).alias("row"), F.pmod("slot", F.lit(across)).alias("col"))
-    cells = candidates.join(queries, ["row", "col"]).mapInArrow(_cell(k), "query_id long, vec_id long, score long")
+    across = max(1, min(MOST_CELLS, -(-n // CANDIDATE_BLOCK)))
+    queries, candidates = asked.coalesce(query_blocks).mapInArrow(_blocks(QUERY_BLOCK), _BLOCK), kept.mapInArrow(_blocks(CANDIDATE_BLOCK), _BLOCK)
+    every_row, every_column = (F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))) for m in (down, across))
+    queries = queries.withColumn("row", F.pmod("slot", F.lit(down))).withColumn("col", every_column).withColumn("candidate", F.lit(False))
+    candidates = candidates.withColumn("row", every_row).withColumn("col", F.pmod("slot", F.lit(across))).withColumn("candidate", F.lit(True))
+    blocks = queries.unionByName(candidates).select("ids", "cells", "width", "bytes", (F.col("row") * across + F.col("col")).cast("int").alias("cell"), "candidate")
+    cells = blocks.repartitionById(down * across, "cell").sortWithinPartitions("cell", "candidate").mapInArrow(_cells(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return cells.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

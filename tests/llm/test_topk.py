@@ -60,3 +60,43 @@ def test_components_beyond_64_bits(spark):
     score = lambda a, b: wrap(sum(x * y for x, y in zip(cells[a], cells[b], strict=True)))
     found = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.top_k(df).collect()}
     assert found == {(q, v): score(q, v) for q in (0, 100) for v in (0, 1, 2, 100) if v != q}
+
+
+def test_no_block_goes_through_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 16)
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(3)], 0) for i in range(300)]
+    df = topk.top_k(spark.createDataFrame(rows, SCHEMA), 5, 3)
+    assert sorted(tuple(r) for r in df.collect()) == brute(rows, 5, 3)
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_queries_among_many_candidates_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 16)
+    rows = [(100 * i + 1, [0.1, 0.2], 0) for i in range(200)] + [(0, [0.5, 0.5], 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    parts = []
+    kept = topk.F.spark_partition_id
+    monkeypatch.setattr(topk, "_cells", lambda k: parts.append(k) or _count_rows)
+    found = topk.top_k(df).select("score", kept()).collect()
+    assert parts == [10] and len(found) > 1 and max(r["score"] for r in found) < 8
+
+
+def _count_rows(batches):
+    n = sum(batch.num_rows for batch in batches)
+    if n:
+        yield topk.pa.RecordBatch.from_pydict({"query_id": topk.pa.array([n], topk.pa.int64()), "vec_id": topk.pa.array([n], topk.pa.int64()), "score": topk.pa.array([n], topk.pa.int64())})
+
+
+def test_best_of_many_blocks_with_equal_and_wide_scores():
+    rng = np.random.default_rng(4)
+    ids, cells = rng.permutation(400), rng.integers(-2, 3, (400, 4))
+    cells[ids % 7 == 0] *= 1 << 40
+    asked = ids[:60].copy()
+    best = topk.Best(asked, topk._narrow(cells[:60]), 9)
+    for at in range(0, 400, 25):
+        best.meet(ids[at : at + 25], topk.Postings(topk._narrow(cells[at : at + 25])))
+    whole = cells[:60] @ cells.T
+    expected = [(int(q), int(i), int(s)) for q, row in zip(asked, whole, strict=True) for s, i in sorted(((s, i) for s, i in zip(row, ids, strict=True) if i != q), key=lambda x: (-int(x[0]), x[1]))[:9]]
+    assert list(zip(asked[best.rows].tolist(), best.found.tolist(), best.scores.tolist(), strict=True)) == expected
