@@ -60,11 +60,14 @@ def split_multi(c: Column) -> Column:
     return F.coalesce(F.filter(F.transform(parts, trim_ws), lambda x: x != ""), F.array().cast("array<string>"))
 
 
-def dedupe_ci(values: Column) -> Column:
-    """Trimmed values, blanks dropped; of those that differ in case alone the first stays, in order."""
-    kept = F.filter(F.transform(values, trim_ws), lambda x: x != "")
-    low = F.transform(kept, lambda x: F.lower(x))
-    return F.filter(kept, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+def dedupe_ci(values: Column, most: int | None = None) -> Column:
+    """Trimmed values, blanks dropped; of those that differ in case alone the first stays, in order; of these the first `most`, if given."""
+
+    def firsts(kept: Column, low: Column) -> Column:
+        keys = F.array_distinct(low)
+        return F.transform(keys if most is None else F.slice(keys, 1, most), lambda k: F.get(kept, F.array_position(low, k).cast("int") - 1))
+
+    return let(F.filter(F.transform(values, trim_ws), lambda x: x != ""), lambda kept: let(F.transform(kept, F.lower), lambda low: firsts(kept, low)))
 
 
 def words(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import content_hash, dedupe_ci, labelled_block, sentences, trim_ws, words
+from ..functions.text import content_hash, dedupe_ci, labelled_block, let, sentences, trim_ws, words
 from ..schemas import SKILLS, extracted, record
 
 #: Fixed values.
@@ -15,31 +15,33 @@ CUES = ("observed", "noted", "mentioned", "prefers", "concern", "strength", "imp
 MOST_KEYWORDS, MOST_SUMMARY = 20, 280
 
 
+def _block(text: Column, label: str) -> Column:
+    """What stands after the label; null if nothing does."""
+    return let(labelled_block(text, label), lambda block: F.when(block != "", block))
+
+
 def summary(text: Column) -> Column:
     """The labelled summary, else the first sentence, else the first characters."""
-    return F.coalesce(F.nullif(labelled_block(text, "summary"), F.lit("")), F.get(sentences(text), 0), F.substring(text, 1, MOST_SUMMARY))
+    return F.coalesce(_block(text, "summary"), F.get(sentences(text), 0), F.substring(text, 1, MOST_SUMMARY))
 
 
 def soft_skills(text: Column) -> Column:
     """Listed phrases that occur in the text, capitalised."""
-    low = F.lower(text)
-    return F.transform(F.filter(F.array(*[F.lit(s) for s in SOFT_SKILLS]), lambda s: F.contains(low, s)), F.initcap)
+    return let(F.lower(text), lambda low: F.transform(F.filter(F.array(*[F.lit(s) for s in SOFT_SKILLS]), lambda s: F.contains(low, s)), F.initcap))
 
 
 def keywords(text: Column) -> Column:
     """The labelled list, else the first words that are neither stop words nor soft skills."""
-    label = labelled_block(text, "keywords")
-    soft = F.transform(soft_skills(text), F.lower)
-    left = F.filter(words(text), lambda w: ~F.lower(w).isin(*STOP_WORDS) & ~F.array_contains(soft, F.lower(w)))
-    free = F.slice(dedupe_ci(F.transform(left, lambda w: F.btrim(w, F.lit(".")))), 1, MOST_KEYWORDS)
-    return F.when(label != "", dedupe_ci(F.split(label, "[,;|]"))).otherwise(free)
+    left = let(F.transform(soft_skills(text), F.lower), lambda soft: F.filter(words(text), lambda w: let(F.lower(w), lambda low: ~low.isin(*STOP_WORDS) & ~F.array_contains(soft, low))))
+    free = dedupe_ci(F.transform(left, lambda w: F.btrim(w, F.lit("."))), MOST_KEYWORDS)
+    return let(_block(text, "keywords"), lambda label: F.when(label.isNotNull(), dedupe_ci(F.split(label, "[,;|]"))).otherwise(free))
 
 
 def observations(text: Column) -> Column:
     """The labelled list, else sentences with a cue."""
-    label = F.coalesce(F.nullif(labelled_block(text, "observations"), F.lit("")), labelled_block(text, "candidate observations"))
-    cued = F.filter(sentences(text), lambda s: F.exists(F.array(*[F.lit(c) for c in CUES]), lambda c: F.contains(F.lower(s), c)))
-    return F.when(label != "", dedupe_ci(F.transform(F.split(label, r"[;\n]"), lambda x: F.btrim(x, F.lit(" -"))))).otherwise(cued)
+    cued = F.filter(sentences(text), lambda s: let(F.lower(s), lambda low: F.exists(F.array(*[F.lit(c) for c in CUES]), lambda c: F.contains(low, c))))
+    label = F.coalesce(_block(text, "observations"), _block(text, "candidate observations"))
+    return let(label, lambda found: F.when(found.isNotNull(), dedupe_ci(F.transform(F.split(found, r"[;\n]"), lambda x: F.btrim(x, F.lit(" -"))))).otherwise(cued))
 
 
 def read(df: DataFrame, text: str = "text", entity_key: Column | None = None, src_ord: Column | None = None) -> DataFrame:

@@ -78,6 +78,16 @@ def test_notes(spark):
     assert len(rows) == 1 and rows[0]["summary"] == "Noted leadership." and [s["name"] for s in rows[0]["skills"]] == ["Leadership"]
 
 
+def test_notes_make_each_list_once(spark):
+    t = F.col("text")
+    df = spark.createDataFrame([("Strong leadership, Ab ab AB. " + " ".join(f"w{i} W{i}" for i in range(300)),), ("Keywords: b; B ,a|b\nObservations: x;X; - y",), (None,)], "text string")
+    rows = df.select(notes.keywords(t).alias("k"), notes.observations(t).alias("o"), notes.soft_skills(t).alias("s")).collect()
+    assert rows[0]["k"] == ["Ab", *[f"w{i}" for i in range(19)]] and rows[0]["o"] == [] and rows[0]["s"] == ["Leadership"]
+    assert rows[1]["k"] == ["b", "a"] and rows[1]["o"] == ["x", "y"] and rows[2]["k"] is None and rows[2]["o"] is None and rows[2]["s"] == []
+    for made, call, times in ((notes.keywords(t), "regexp_extract_all(", 1), (notes.keywords(t), "split(", 1), (notes.observations(t), "split(", 2)):
+        assert df.select(made.alias("x"))._jdf.queryExecution().analyzed().toString().count(call) == times
+
+
 TEXT = """Jane Roe
 jane@x.co
 
