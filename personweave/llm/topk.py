@@ -6,8 +6,8 @@ queries and reads its candidates one block after the other. The postings of each
 queries' components, into a dense array of scores, from which partition selection takes the best k of each
 query; later blocks of the cell add what beats them. The cells' winners are merged.
 
-Blocks are dealt by cell and sorted, not joined: the planner takes a packed block for some 100 bytes, so it
-would send all queries, once for each column of the grid, through the driver.
+Blocks are dealt by cell and sorted, not joined: a join may be planned as a broadcast, which sends all queries, once for
+each column of the grid, through the driver.
 """
 
 from __future__ import annotations
